@@ -127,7 +127,12 @@ def table(spark: SparkSession, folder: str, name: str) -> DataFrame:
 
 def pages(spark: SparkSession, folder: str) -> DataFrame:
     """All pages with the added elements."""
-    return table(spark, folder, "pages").select("page_id", "url", F.expr(PAGE_HTML).alias("html"))
+    return with_elements(table(spark, folder, "pages"))
+
+
+def with_elements(raw: DataFrame) -> DataFrame:
+    """Pages with scripts, links and resources added to each."""
+    return raw.select("page_id", "url", F.expr(PAGE_HTML).alias("html"))
 
 
 def payloads(spark: SparkSession, folder: str, body: str) -> DataFrame:

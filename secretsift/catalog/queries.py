@@ -379,6 +379,7 @@ def incremental_scan(spark, folder):
     return incremental.run_incremental(
         spark, f"{folder}/pages*.parquet", new_work_path(spark, "resources"),
         new_work_path(spark, "state"), _seeds(spark, folder), suffixes.builtin_rules(spark),
+        prepare=inputs.with_elements,
     ).select("resource_url", "tier")
 
 

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from secretsift import schemas
@@ -42,10 +44,12 @@ def run_incremental(
     rules: SuffixRules,
     semantics: str = REFERENCE,
     files_per_batch: int | None = None,
+    prepare: Callable[[DataFrame], DataFrame] = lambda pages: pages,
 ) -> DataFrame:
     """Process what is new under ``source`` and add it to the table at ``target``.
 
-    ``state`` is the stream's checkpoint folder; source, target and state have to
+    ``prepare`` is applied to the pages of a batch first, for example to unpack
+    JSON answers. ``state`` is the stream's checkpoint folder; source, target and state have to
     be on shared storage. A batch first removes its own repeats, combined on the
     map side, then those of earlier batches. It writes a folder of its own and
     replaces that folder if it has to run again, so a restart neither loses nor
@@ -57,7 +61,7 @@ def run_incremental(
     def add(pages: DataFrame, batch: int) -> None:
         table = pages.sparkSession.read.schema(NEW_RESOURCES).parquet(target)
         seen = table.where(F.col("batch") < batch)
-        fresh = ranked_resources(pages, seeds, rules, semantics)
+        fresh = ranked_resources(prepare(pages), seeds, rules, semantics)
         unseen(fresh, seen).write.mode("overwrite").parquet(f"{target}/batch={batch}")
 
     reader = spark.readStream.schema(schemas.PAGES)
