@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, functions as F
 
-from secretsift.functions.text import once, strip
+from secretsift.functions.text import let, once, strip
 from secretsift.session import INTENDED, REFERENCE, check_semantics
 
 # Name extensions of binary content.
@@ -16,8 +16,6 @@ BYTE_EXTENSIONS = (
 # Schemes whose relative references can be resolved against a base.
 HIERARCHICAL_SCHEMES = ["", "http", "https", "ftp", "file", "ws", "wss", "sftp"]
 
-_END = r"\z"
-
 
 def normalise_domain(c: Column) -> Column:
     """Domain as typed by a user: no commas or blanks, lower case."""
@@ -34,18 +32,40 @@ def strip_list_marks(c: Column) -> Column:
     return F.translate(c, '[]"', "")
 
 
+def before(c: Column, *marks: str) -> Column:
+    """Text up to the first of some marks."""
+    for mark in marks:
+        c = F.substring_index(c, mark, 1)
+    return c
+
+
+def from_char(c: Column, start: Column | int) -> Column:
+    """Text from a position, counted from one, to the end."""
+    return F.substr(c, start if isinstance(start, Column) else F.lit(start))
+
+
+def _contains(c: Column, text: str) -> Column:
+    return F.contains(c, F.lit(text))
+
+
 def host_of(c: Column) -> Column:
     """Host of anything that looks like a URL, with or without a scheme.
 
     User info, port, and dots at the end are dropped; letter case is kept.
     """
-    no_scheme = F.regexp_replace(c, r"^(?:[A-Za-z0-9+.\-]+:)?//", "")
-    authority = F.regexp_extract(no_scheme, r"^([^/?#]*)", 1)
-    no_user = F.regexp_extract(authority, r"([^@]*)" + _END, 1)
-    bracketed = F.regexp_extract(no_user, r"^\[[^\]]*\]", 0)
-    name = strip(F.regexp_extract(no_user, r"^([^:]*)", 1))
-    dotted = F.translate(name, "\u3002\uff0e\uff61", "...")
-    return F.when(bracketed != "", bracketed).otherwise(F.rtrim(dotted, F.lit(".")))
+    scheme = F.regexp_replace(c, r"^(?:[A-Za-z0-9+.\-]+:)?//", "")
+    no_scheme = F.when(_contains(c, "//"), scheme).otherwise(c)
+    no_user = F.substring_index(before(no_scheme, "/", "?", "#"), "@", -1)
+
+    def name(host: Column) -> Column:
+        text = strip(before(host, ":"))
+        for dot in ("\u3002", "\uff0e", "\uff61"):
+            text = F.replace(text, F.lit(dot), F.lit("."))
+        bracketed = F.startswith(host, F.lit("[")) & _contains(host, "]")
+        address = F.concat(before(host, "]"), F.lit("]"))
+        return F.when(bracketed, address).otherwise(F.rtrim(text, F.lit(".")))
+
+    return let(no_user, name)
 
 
 def ensure_scheme(c: Column) -> Column:
@@ -67,7 +87,8 @@ def clean_url(c: Column, semantics: str = REFERENCE) -> Column:
         plain = F.regexp_replace(plain, r"\?[^\r\n]*=\\[^\r\n]*", "")
     slashes = F.regexp_replace(plain, r"\\+", "/")
     repeated = r"(?<!:)(?<!^)/{2,}" if intended else r"(?<!:)/{2,}"
-    return strip(F.regexp_replace(slashes, repeated, "/"), "\"'")
+    single = F.regexp_replace(slashes, repeated, "/")
+    return strip(F.when(_contains(c, "\\") | _contains(c, "//"), single).otherwise(c), "\"'")
 
 
 def is_byte_content(c: Column, semantics: str = REFERENCE) -> Column:
@@ -82,11 +103,22 @@ def is_byte_content(c: Column, semantics: str = REFERENCE) -> Column:
         return F.contains(c, F.lit("'.")) & F.rlike(c, F.lit(pattern))
     wanted = "|".join(e for e in BYTE_EXTENSIONS if e != "xml")
     path = F.regexp_extract(ensure_scheme(c), r"^https?://[^/?#]*([^?#]*)", 1)
-    return F.rlike(path, F.lit(r"(?i)\.(?:" + wanted + ")" + _END))
+    return F.rlike(path, F.lit(r"(?i)\.(?:" + wanted + r")\z"))
 
 
 def _scheme(c: Column) -> Column:
-    return F.lower(F.regexp_extract(c, r"^([A-Za-z][A-Za-z0-9+.\-]*):", 1))
+    """Scheme in lower case, empty if there is none."""
+    head = before(c, ":")
+    valid = _contains(c, ":") & F.rlike(head, F.lit(r"^[A-Za-z][A-Za-z0-9+.\-]*\z"))
+    return F.when(valid, F.lower(head)).otherwise("")
+
+
+def _tidy(c: Column) -> Column:
+    """Drop what browsers drop: control characters in front, line breaks and tabs."""
+    c = F.ltrim(c, F.lit("".join(map(chr, range(0x21)))))
+    for mark in "\t\r\n":
+        c = F.replace(c, F.lit(mark), F.lit(""))
+    return c
 
 
 def _fold_dots(path: Column) -> Column:
@@ -99,88 +131,90 @@ def _fold_dots(path: Column) -> Column:
         .when(s == ".", done)
         .otherwise(F.concat(done, F.array(s))),
     )
-    last = F.element_at(segments, -1)
-    folder = F.when(last.isin(".", ".."), F.array(F.lit(""))).otherwise(
+    folder = F.when(F.rlike(path, F.lit(r"/\.\.?\z")), F.array(F.lit(""))).otherwise(
         F.array().cast("array<string>")
     )
     return F.array_join(F.concat(kept, folder), "/")
 
 
+def _prefixed(mark: str, c: Column) -> Column:
+    return F.when(c != "", F.concat(F.lit(mark), c)).otherwise("")
+
+
+def _rooted(c: Column) -> Column:
+    missing = (c != "") & ~F.startswith(c, F.lit("/"))
+    return F.when(missing, F.concat(F.lit("/"), c)).otherwise(c)
+
+
 def resolve_urls(df: DataFrame, base: str, link: str, out: str) -> DataFrame:
     """Resolve column ``link`` against column ``base`` (RFC 3986, lenient form).
 
-    Written in steps, so that each piece of a URL is computed once per row.
+    Written in steps, so that each piece of a URL is computed once per row, and
+    with plain text functions where a row needs no regular expression.
     """
-    tidy = lambda c: F.regexp_replace(
-        F.regexp_replace(c, r"^[\x00-\x20]+", ""), r"[\t\r\n]", ""
-    )
     keep = [F.col(f"`{c}`") for c in df.columns if c != out]
-    raw_link, raw_base = F.col(link), F.col(base)
-    step = df.select(
-        *keep,
-        raw_link.alias("_l0"),
-        raw_base.alias("_b0"),
-        tidy(raw_link).alias("_l"),
-        tidy(raw_base).alias("_b"),
-    )
-    step = step.withColumns({"_ls": _scheme(F.col("_l")), "_bs": _scheme(F.col("_b"))})
+    both = ("_l", "_b")
+    step = df.select(*keep, F.col(link).alias("_l0"), F.col(base).alias("_b0"))
+    step = step.withColumns({s: _tidy(F.col(s + "0")) for s in both})
+    step = step.withColumns({s + "s": _scheme(F.col(s)) for s in both})
+    # Rest after the scheme, network location, rest after that.
     step = step.withColumns({
-        s + "r": F.when(F.col(s + "s") != "", F.substr(F.col(s), F.length(s + "s") + F.lit(2)))
-        .otherwise(F.col(s))
-        for s in ("_l", "_b")
+        s + "r": F.when(F.col(s + "s") != "", from_char(F.col(s), F.length(s + "s") + 2))
+        .otherwise(F.col(s)) for s in both
     })
+    located = {s: F.startswith(s + "r", F.lit("//")) for s in both}
     step = step.withColumns({
-        s + "n": F.regexp_extract(s + "r", r"^//([^/?#]*)", 1) for s in ("_l", "_b")
-    } | {
-        s + "a": F.regexp_replace(s + "r", r"^//[^/?#]*", "") for s in ("_l", "_b")
+        s + "n": F.when(located[s], before(from_char(F.col(s + "r"), 3), "/", "?", "#"))
+        .otherwise("") for s in both
     })
-    last_part = r"(?s)^((?:.*/)?[^/;]*)"
-    params = r"(?s)^(?:.*/)?[^/;]*;([^/]*)\z"
-    full_path = lambda s: F.regexp_extract(s + "a", r"^([^?#]*)", 1)
-    query = lambda s: F.regexp_extract(s + "a", r"^[^?#]*\?([^#]*)", 1)
     step = step.withColumns({
-        "_lf": full_path("_l"), "_bf": full_path("_b"), "_lq": query("_l"), "_bq": query("_b"),
-        "_lg": F.regexp_extract("_la", r"(?s)^[^#]*#(.*)", 1),
+        s + "a": F.when(located[s], from_char(F.col(s + "r"), F.length(s + "n") + 3))
+        .otherwise(F.col(s + "r")) for s in both
     })
+    # Text before the fragment, path in it, and from those query and fragment.
+    step = step.withColumns({s + "h": before(F.col(s + "a"), "#") for s in both})
+    step = step.withColumns({s + "f": before(F.col(s + "h"), "?") for s in both})
+    query = {s: from_char(F.col(s + "h"), F.length(s + "f") + 2) for s in both}
     step = step.withColumns({
-        "_lp": F.regexp_extract("_lf", last_part, 1), "_lm": F.regexp_extract("_lf", params, 1),
-        "_bp": F.regexp_extract("_bf", last_part, 1), "_bm": F.regexp_extract("_bf", params, 1),
+        "_lq": query["_l"], "_bq": query["_b"], "_lg": from_char(F.col("_la"), F.length("_lh") + 2),
     })
-    folder = F.regexp_replace("_bp", r"[^/]*\z", "")
-    folder = F.when(folder == "", F.lit("/")).otherwise(folder)
+    params = {s: _contains(F.col(s + "f"), ";") for s in both}
+    step = step.withColumns({
+        s + "p": F.when(params[s], F.regexp_extract(s + "f", r"(?s)^((?:.*/)?[^/;]*)", 1))
+        .otherwise(F.col(s + "f")) for s in both
+    } | {
+        s + "m": F.when(params[s], F.regexp_extract(s + "f", r"(?s)^(?:.*/)?[^/;]*;([^/]*)\z", 1))
+        .otherwise("") for s in both
+    })
+    name = F.length(F.substring_index("_bp", "/", -1))
+    folder = F.when(F.col("_bp") == "", F.lit("/")).otherwise(
+        F.substr("_bp", F.lit(1), F.length("_bp") - name)
+    )
     joined = F.when(F.startswith("_lp", F.lit("/")), F.col("_lp")).otherwise(
         F.regexp_replace(F.concat(folder, F.col("_lp")), "/{2,}", "/")
     )
     step = step.withColumn("_j", joined)
-    step = step.withColumn(
-        "_d",
-        F.when(F.rlike("_j", F.lit(r"(?:^|/)\.\.?(?:/|\z)")), _fold_dots(F.col("_j")))
-        .otherwise(F.col("_j")),
-    )
-    prefixed = lambda mark, c: F.when(c != "", F.concat(F.lit(mark), c)).otherwise("")
-    rooted = lambda c: F.when(
-        (c != "") & ~F.startswith(c, F.lit("/")), F.concat(F.lit("/"), c)
-    ).otherwise(c)
-    head = lambda netloc: F.concat(
-        F.when(F.col("_bs") != "", F.concat(F.col("_bs"), F.lit(":"))).otherwise(""),
-        F.when(netloc != "", F.concat(F.lit("//"), netloc)).otherwise(""),
-    )
+    dotted = _contains(F.col("_j"), "/.")
+    step = step.withColumn("_d", F.when(dotted, _fold_dots(F.col("_j"))).otherwise(F.col("_j")))
+    scheme = F.when(F.col("_bs") != "", F.concat(F.col("_bs"), F.lit(":"))).otherwise("")
     own_tail = F.concat(
-        prefixed(";", F.col("_lm")), prefixed("?", F.col("_lq")), prefixed("#", F.col("_lg"))
+        _prefixed(";", F.col("_lm")), _prefixed("?", F.col("_lq")), _prefixed("#", F.col("_lg"))
     )
+    base_root = F.concat(scheme, _prefixed("//", F.col("_bn")))
     same_page = F.concat(
-        head(F.col("_bn")), rooted(F.col("_bp")), prefixed(";", F.col("_bm")),
-        prefixed("?", F.when(F.col("_lq") != "", F.col("_lq")).otherwise(F.col("_bq"))),
-        prefixed("#", F.col("_lg")),
+        base_root, _rooted(F.col("_bp")), _prefixed(";", F.col("_bm")),
+        _prefixed("?", F.when(F.col("_lq") != "", F.col("_lq")).otherwise(F.col("_bq"))),
+        _prefixed("#", F.col("_lg")),
     )
     target = F.when(F.col("_d") == "", F.lit("/")).otherwise(F.col("_d"))
     other_scheme = (F.col("_ls") != "") & (F.col("_ls") != F.col("_bs"))
+    other_host = F.concat(scheme, F.lit("//"), F.col("_ln"), _rooted(F.col("_lp")), own_tail)
     result = (
         F.when(F.col("_b0") == "", F.col("_l0"))
         .when(F.col("_l0") == "", F.col("_b0"))
         .when(other_scheme | ~F.col("_bs").isin(HIERARCHICAL_SCHEMES), F.col("_l0"))
-        .when(F.col("_ln") != "", F.concat(head(F.col("_ln")), rooted(F.col("_lp")), own_tail))
+        .when(F.col("_ln") != "", other_host)
         .when((F.col("_lp") == "") & (F.col("_lm") == ""), same_page)
-        .otherwise(F.concat(head(F.col("_bn")), rooted(target), own_tail))
+        .otherwise(F.concat(base_root, _rooted(target), own_tail))
     )
     return once(step, **{out: result}).select(*keep, out)

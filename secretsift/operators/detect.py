@@ -8,7 +8,7 @@ from operator import or_
 from pyspark.sql import Column, DataFrame, functions as F
 
 from secretsift.functions.masking import fingerprint, mask
-from secretsift.functions.text import all_matches
+from secretsift.functions.text import all_matches, once
 from secretsift.operators.rules import RULES, Rule
 
 _EMPTY = "array<struct<rule:string,category:string,value:string>>"
@@ -60,11 +60,11 @@ def candidates_per_text(
     inside the row and nothing is grouped or shuffled.
     """
     keep = [F.col(f"`{c}`") for c in texts.columns if c != text]
-    found = _with_hits(texts, text, rules)
     prints = F.array_sort(F.array_distinct(
         F.transform(F.col("hits"), lambda h: fingerprint(h["value"]))
     ))
-    listed = found.select(*keep, prints.alias("candidates")).where(F.size("candidates") > 0)
+    found = _with_hits(texts, text, rules).select(*keep, "hits")
+    listed = once(found, candidates=prints).drop("hits").where(F.size("candidates") > 0)
     return listed.withColumn("n_candidates", F.size("candidates"))
 
 

@@ -142,7 +142,8 @@ def _candidates(pages: DataFrame, tags: tuple[str, ...], with_self: bool = False
         found = [item(part, n, _value(F.col("attributes"), n)) for n in names]
         return F.filter(F.array(*found), lambda i: F.length(i["value"]) > 0)
 
-    body = F.regexp_extract("piece", rf"(?is)^<script{_ATTRIBUTES}>(.*?)(?:</script\s*+>)?\z", 1)
+    # A script that is never closed has no text for the parser.
+    body = F.regexp_extract("piece", rf"(?is)^<script{_ATTRIBUTES}>(.*?)</script\s*+>\z", 1)
 
     def call_items(name: str, call: str) -> Column:
         return F.transform(all_matches(body, call, 1), lambda v: item(IMPORT, name, v))
