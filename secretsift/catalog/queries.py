@@ -8,9 +8,8 @@ from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from secretsift.catalog import inputs
 from secretsift.functions import urls
-from secretsift.functions.patterns import TIER_NAMES
 from secretsift.functions.text import unescape_html
-from secretsift.operators import dedup, detect, extract, prioritize, report, scope, topk
+from secretsift.operators import dedup, detect, extract, prioritize, report, scope
 from secretsift.operators.domains import with_domain_parts
 from secretsift.operators.rules import AUTH, CLOUD, DATABASE, GENERIC, INFRA, rules_of
 from secretsift.plans import scan
@@ -295,10 +294,7 @@ def tiered_limit_internal(spark, folder):
 
 def tiered_limit_ranges(spark, folder):
     """The same selection as it runs for a limit too large for one sort."""
-    ranked = _ranked(spark, folder)
-    chosen = topk.first_rows(
-        ranked, "tier", F.col("seq.page_id"), [F.col("seq")], LARGE_TOP, plain=0
-    )
+    chosen = prioritize.select_first(_ranked(spark, folder), LARGE_TOP, plain=0)
     return _named(chosen).select("resource_url", "origin_url", "tier")
 
 

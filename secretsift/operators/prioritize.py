@@ -42,15 +42,18 @@ def rank_resources(resources: DataFrame, semantics: str = REFERENCE) -> DataFram
     return resources.withColumn("tier", resource_tier(F.col("resource_url"), semantics))
 
 
-def select_first(ranked: DataFrame, limit: int = DEFAULT_LIMIT) -> DataFrame:
+def select_first(
+    ranked: DataFrame, limit: int = DEFAULT_LIMIT, plain: int = PLAIN_LIMIT
+) -> DataFrame:
     """The ``limit`` best URLs: high before medium before low, then first seen.
 
-    Needs ``tier`` and ``seq`` (which starts with ``page_id``). A large limit
-    reads the ranked list three times, so the list is written out once first.
+    Needs ``tier`` and ``seq`` (which starts with ``page_id``). Beyond ``plain``
+    the ranked list is written out once, because the selection reads it again.
     """
-    if limit > PLAIN_LIMIT:
-        ranked = cut_lineage(ranked)
-    return first_rows(ranked, "tier", F.col("seq.page_id"), [F.col("seq")], limit)
+    if limit <= plain:
+        return first_rows(ranked, "tier", "seq.page_id", ["seq"], limit, plain)
+    stored = cut_lineage(ranked.withColumn("_page", F.col("seq.page_id")))
+    return first_rows(stored, "tier", "_page", ["seq"], limit, plain).drop("_page")
 
 
 def priority_distribution(

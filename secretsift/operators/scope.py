@@ -21,19 +21,23 @@ def in_scope(
     rules: SuffixRules,
     semantics: str = REFERENCE,
     inline: int = INLINE_SEEDS,
+    each_seed: bool = True,
 ) -> DataFrame:
     """Resources owned by a seed; a page's own row and script imports always stay.
 
     ``reference`` owns a host that has the seed's label anywhere in its full name
     and gives a row per seed that matches. ``intended`` compares registered
     domains and gives one row. Adds the matched ``seed``, null where none was
-    asked.
+    asked. Whoever removes repeats anyway passes ``each_seed=False``: a short seed
+    list then only filters, without a row per seed and without ``seed``.
     """
     free = F.col("part").isin(SELF, IMPORT)
     hosts = once(resources, _host=host_of(F.col("resource_url")))
     if check_semantics(semantics) == INTENDED:
-        return _equal_domains(hosts, seeds, rules, free, inline)
-    return _containing_labels(hosts, seeds, rules, free, inline)
+        found = _equal_domains(hosts, seeds, rules, free, inline)
+    else:
+        found = _containing_labels(hosts, seeds, rules, free, inline, each_seed)
+    return found if each_seed else found.drop("seed")
 
 
 def _listed(seeds: DataFrame, column: str, inline: int) -> list[str] | None:
@@ -59,12 +63,16 @@ def _equal_domains(hosts, seeds, rules, free, inline) -> DataFrame:
     return joined.where(free | F.col("seed").isNotNull()).drop("_host", "_domain")
 
 
-def _containing_labels(hosts, seeds, rules, free, inline) -> DataFrame:
+def _containing_labels(hosts, seeds, rules, free, inline, each_seed) -> DataFrame:
     named = with_domain_parts(hosts, "_host", rules, fqdn="_fqdn")
     listed = _listed(seeds, "label", inline)
     none = F.array(F.lit(None).cast("string"))
     if listed is not None:
         labels = F.array(*[F.lit(s) for s in listed]).cast("array<string>")
+        if not each_seed:
+            name = F.col("_fqdn")
+            owned = F.exists(labels, lambda s: F.contains(name, s))
+            return named.where(free | owned).drop("_host", "_fqdn")
         owners = F.filter(labels, lambda s: F.contains(F.col("_fqdn"), s))
         found = F.explode(F.when(free, none).otherwise(owners))
         return named.withColumn("seed", found).drop("_host", "_fqdn")

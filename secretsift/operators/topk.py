@@ -2,9 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window, functions as F
-
-from secretsift.functions.text import once
+from pyspark.sql import DataFrame, Window, functions as F
 
 # Rows one task may be handed per group in the last steps of a group limit.
 GROUP_ROWS = 4_000_000
@@ -35,39 +33,42 @@ def first_per_group(
 
 # Up to here a plain sort-and-limit keeps the merge on one task small.
 PLAIN_LIMIT = 10_000
-# Ranges the leading order column is cut into to find where a large limit falls.
-RANGES = 4_096
+# Cuts per tier of the leading order column, and the accuracy they are found with.
+CUTS = 4_096
+ACCURACY = 10 * CUTS
 
 
 def first_rows(
-    df: DataFrame, tier: str, lead: Column, order: list[Column], k: int, plain: int = PLAIN_LIMIT
+    df: DataFrame, tier: str, lead: str, order: list[str], k: int, plain: int = PLAIN_LIMIT
 ) -> DataFrame:
-    """The first ``k`` rows by ``tier`` and then ``order``, whose leading part is ``lead``.
+    """The first ``k`` rows by ``tier`` and then ``order``, which ``lead`` comes first in.
+
+    A small ``k`` is an ordinary top-k. A large one would bring ``k`` rows of
+    every partition to one task, so the rows beyond it are dropped before: the
+    size and the cuts of each of the few tiers tell the tier and the value of
+    ``lead`` at which the limit falls. That value is only used if a count proves
+    that enough rows lie below it; the sort then sees little more than ``k`` rows.
 
-    A small ``k`` is an ordinary top-k. For a large one, rows are first counted
-    per tier and range of ``lead``; a running sum over that small table tells in
-    which range the limit falls. Only rows up to that range go into the sort.
+    A large ``k`` reads ``df`` up to three times, so it should be a stored table.
     """
-    if k <= 0:
-        return df.limit(0)
-    ordered = [F.col(tier), *order]
+    ordered = [F.col(tier), *map(F.col, order)]
     if k <= plain:
-        return df.orderBy(*ordered).limit(k)
-    step = 1.0 / RANGES
-    cuts = F.percentile_approx(lead, [step * i for i in range(1, RANGES)], 10 * RANGES)
-    bounds = df.agg(F.array_distinct(cuts).alias("cuts")).scalar()
-    # Number of cuts below the value, by halving the sorted list of cuts.
-    widths = F.array(*[F.lit(1 << i) for i in reversed(range(RANGES.bit_length()))])
-
-    def narrow(at: Column, width: Column) -> Column:
-        below = F.try_element_at("_cuts", at + width) < F.col("_lead")
-        return F.when(below, at + width).otherwise(at)
-
-    ranged = once(df.withColumn("_lead", lead).withColumn("_cuts", bounds),
-                  _range=F.aggregate(widths, F.lit(0), narrow)).drop("_cuts", "_lead")
-    counts = ranged.groupBy(tier, "_range").agg(F.count(F.lit(1)).alias("n"))
-    before = Window.orderBy(tier, "_range").rowsBetween(Window.unboundedPreceding, -1)
-    reached = counts.withColumn("seen", F.coalesce(F.sum("n").over(before), F.lit(0)))
-    last = reached.where(F.col("seen") < k).agg(F.max(F.struct(tier, "_range")).alias("last"))
-    kept = ranged.where(F.struct(F.col(tier), F.col("_range")) <= last.scalar())
-    return kept.drop("_range").orderBy(*ordered).limit(k)
+        return df.orderBy(*ordered).limit(max(k, 0))
+    shares = F.from_json(F.lit(str([i / CUTS for i in range(1, CUTS)])), "array<double>")
+    cuts = F.percentile_approx(lead, shares, ACCURACY)
+    tiers = df.groupBy(tier).agg(F.count(F.lit(1)).alias("n"), cuts.alias("cuts")).collect()
+    missing = k
+    for row in sorted(tiers, key=lambda r: r[tier]):
+        if row["n"] > missing:
+            break
+        missing -= row["n"]
+    else:
+        return df.orderBy(*ordered)
+    before = F.col(tier) < row[tier]
+    boundary = F.col(tier) == row[tier]
+    place = int((missing / row["n"] + 2 / ACCURACY) * CUTS) + 1
+    if row["cuts"] and place <= len(row["cuts"]):
+        below = F.col(lead).isNull() | (F.col(lead) <= row["cuts"][place - 1])
+        if df.where(boundary & below).count() >= missing:
+            boundary = boundary & below
+    return df.where(before | boundary).orderBy(*ordered).limit(k)

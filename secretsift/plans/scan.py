@@ -39,10 +39,11 @@ def resource_scan(
     seeds: DataFrame,
     rules: SuffixRules,
     semantics: str = REFERENCE,
+    each_seed: bool = True,
 ) -> DataFrame:
     """Internal pages to all resources in scope, repeats included."""
     resources = extract.resolved_resources(pages, semantics)
-    return scope.in_scope(resources, seeds, rules, semantics)
+    return scope.in_scope(resources, seeds, rules, semantics, each_seed=each_seed)
 
 
 def select_resources(
@@ -91,6 +92,6 @@ def leak_scan(
     rules: tuple[Rule, ...] = RULES,
 ) -> DataFrame:
     """Internal pages to report rows, the whole way."""
-    resources = resource_scan(pages, seeds, suffixes, semantics)
+    resources = resource_scan(pages, seeds, suffixes, semantics, each_seed=False)
     selected = select_resources(resources, failed, limit, semantics)
     return credential_scan(selected, captures, suffixes, limit, rules)

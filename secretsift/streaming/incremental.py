@@ -19,8 +19,8 @@ def ranked_resources(
     pages: DataFrame, seeds: DataFrame, rules: SuffixRules, semantics: str = REFERENCE
 ) -> DataFrame:
     """Addresses in scope of some pages, each once, with their rank."""
-    found = resource_scan(pages, seeds, rules, semantics).select("resource_url").distinct()
-    ranked = rank_resources(found, semantics)
+    found = resource_scan(pages, seeds, rules, semantics, each_seed=False)
+    ranked = rank_resources(found.select("resource_url").distinct(), semantics)
     return ranked.select("resource_url", tier_name(F.col("tier")).alias("tier"))
 
 

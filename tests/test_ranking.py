@@ -74,7 +74,7 @@ def test_range_selection_equals_sort(spark, seed):
             for i in range(5000)]
     frame = spark.createDataFrame(rows, "lead long, n long, tier int").repartition(7)
     for k in (0, 1, 37, 1700, 4999, 9000):
-        got = topk.first_rows(frame, "tier", F.col("lead"), [F.col("lead"), F.col("n")], k, plain=0)
+        got = topk.first_rows(frame, "tier", "lead", ["lead", "n"], k, plain=0)
         want = sorted((t, a, n) for a, n, t in rows)[:k]
         assert [(r.tier, r.lead, r.n) for r in got.collect()] == want
 
