@@ -11,6 +11,8 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
+from secretsift.session import spread
+
 B = "chr(92)"
 Q = "chr(39)"
 NL = "chr(10)"
@@ -122,7 +124,9 @@ CDX_YEAR = 2024
 
 
 def table(spark: SparkSession, folder: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{folder}/{name}.parquet")
+    """A given table; its first column is its key."""
+    stored = spark.read.parquet(f"{folder}/{name}.parquet")
+    return spread(stored, stored.columns[0])
 
 
 def pages(spark: SparkSession, folder: str) -> DataFrame:

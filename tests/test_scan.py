@@ -10,6 +10,7 @@ from secretsift.catalog import inputs, queries
 from secretsift.operators import detect, report, scope
 from secretsift.operators.rules import RULES, rule_table, rules_of
 from secretsift.plans import scan
+from secretsift.session import spread
 from secretsift.sources import suffixes
 from secretsift.streaming.incremental import run_incremental
 
@@ -196,9 +197,15 @@ def test_plans(spark, name):
         assert word not in plan, word
 
 
+def test_spread(spark, tmp_path):
+    few, many = spark.range(100).coalesce(1), spark.range(100).repartition(9)
+    assert spread(few, "id").rdd.getNumPartitions() == spark.sparkContext.defaultParallelism
+    assert spread(many, "id") is many
+
+
 def test_scans_read_only_what_they_use(spark):
     plan = queries.QUERIES["q36_fingerprint_counts"](spark, DATA)._jdf.queryExecution().executedPlan().toString()
-    assert "ReadSchema: struct<text:string>" in plan
+    assert "ReadSchema: struct<doc_id:bigint,text:string>" in plan
     rules = suffixes.builtin_rules(spark)
     pages = inputs.table(spark, DATA, "pages")
     hosts = scan.internal_url_scan(pages, rules, 10).select("url")
