@@ -27,13 +27,16 @@ def _hits(text: str, lowered: str, rule: Rule) -> Column:
     return F.when(gate, found).otherwise(F.array().cast(_EMPTY))
 
 
-def _with_hits(texts: DataFrame, text: str, rules: tuple[Rule, ...]) -> DataFrame:
-    """Add ``hits``, the candidates of all rules, in one pass over the text."""
-    step = texts
+def _lowered(texts: DataFrame, text: str, rules: tuple[Rule, ...]) -> DataFrame:
+    """Add the text in lower case, if any rule looks at it."""
     if any(r.any_case for r in rules):
-        step = step.withColumn("_lowered", F.lower(text))
-    hits = F.concat(*[_hits(text, "_lowered", r) for r in rules])
-    return step.withColumn("hits", hits).drop("_lowered")
+        return texts.withColumn("_lowered", F.lower(text))
+    return texts
+
+
+def _all_hits(text: str, rules: tuple[Rule, ...]) -> Column:
+    """Candidates of all rules, in one pass over the text."""
+    return F.concat(*[_hits(text, "_lowered", r) for r in rules])
 
 
 def find_credentials(
@@ -45,7 +48,9 @@ def find_credentials(
     itself only if ``raw`` is asked for.
     """
     keep = [F.col(f"`{c}`") for c in texts.columns if c != text]
-    found = _with_hits(texts, text, rules).select(*keep, F.inline("hits"))
+    # The list goes into the generator as an expression: for a column of it, a
+    # filter on its size would be inferred and search every text again.
+    found = _lowered(texts, text, rules).select(*keep, F.inline(_all_hits(text, rules)))
     value = F.col("value")
     shown = [mask(value).alias("masked"), fingerprint(value).alias("fingerprint")]
     return found.select(*keep, "rule", "category", *shown, *([value] if raw else []))
@@ -61,10 +66,10 @@ def candidates_per_text(
     """
     keep = [F.col(f"`{c}`") for c in texts.columns if c != text]
     prints = F.array_sort(F.array_distinct(
-        F.transform(F.col("hits"), lambda h: fingerprint(h["value"]))
+        F.transform(_all_hits(text, rules), lambda h: fingerprint(h["value"]))
     ))
-    found = _with_hits(texts, text, rules).select(*keep, "hits")
-    listed = once(found, candidates=prints).drop("hits").where(F.size("candidates") > 0)
+    found = once(_lowered(texts, text, rules), candidates=prints)
+    listed = found.select(*keep, "candidates").where(F.size("candidates") > 0)
     return listed.withColumn("n_candidates", F.size("candidates"))
 
 

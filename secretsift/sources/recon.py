@@ -13,7 +13,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, functions as F
 
 from secretsift import schemas
-from secretsift.functions.text import WHITESPACE_CLASS, all_matches, strip, strip_tags
+from secretsift.functions.text import WHITESPACE_CLASS, all_matches, once, strip, strip_tags
 from secretsift.functions.urls import normalise_subdomain, strip_list_marks
 from secretsift.session import INTENDED, REFERENCE, check_semantics
 
@@ -94,12 +94,13 @@ def host_table(payloads: DataFrame, semantics: str = REFERENCE) -> DataFrame:
         all_matches(F.col("body"), _HOST_CELL, 1),
         lambda cell: F.regexp_extract(strip_tags(cell), first_word, 1),
     )
-    parsed = _answers(payloads).select("domain", words.alias("words"))
+    parsed = once(_answers(payloads).select("domain", "body"), words=words)
     if check_semantics(semantics) == REFERENCE:
         end = F.array_position("words", F.lit(""))
         used = F.when(end > 0, F.slice("words", F.lit(1), (end - 1).cast("int")))
-        parsed = parsed.select("domain", used.otherwise(F.col("words")).alias("words"))
-    names = _hosts(parsed, F.col("words"), "host_table")
+        names = _hosts(parsed, used.otherwise(F.col("words")), "host_table")
+    else:
+        names = _hosts(parsed, F.col("words"), "host_table")
     names = names.withColumn("fqdn", F.rtrim("fqdn", F.lit(".")))
     return _result(names.where(F.contains("fqdn", F.col("domain"))))
 
