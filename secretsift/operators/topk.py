@@ -4,6 +4,8 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, Window, functions as F
 
+from secretsift.session import cut_lineage
+
 # Rows one task may be handed per group in the last steps of a group limit.
 GROUP_ROWS = 4_000_000
 
@@ -13,22 +15,29 @@ def first_per_group(
 ) -> DataFrame:
     """The first ``k`` rows of every group in ``order``, which must be unique in it.
 
-    A group is cut into ``spread`` slices by a hash of the order columns and each
-    slice is limited to ``k`` first. Slices then merge, as many at a time as keep
-    one task within ``GROUP_ROWS`` rows, down to the group. Any row among the
-    first ``k`` of its group is among the first ``k`` of its slice, so nothing is
-    lost, and a group with most of the table is sorted by many tasks.
+    Groups of up to ``k`` rows are kept whole without ranking them. The others, of
+    which there are at most one per ``k`` rows, are cut into ``spread`` slices by
+    a hash of the order columns, and each slice is limited to ``k`` first. Slices
+    then merge, as many at a time as keep one task within ``GROUP_ROWS`` rows,
+    down to the group. Any row among the first ``k`` of its group is among the
+    first ``k`` of its slice, so nothing is lost, and a group with most of the
+    table is sorted by many tasks. The input is read three times and stored first.
     """
+    stored = cut_lineage(df)
+    sizes = stored.groupBy(*groups).agg(F.count(F.lit(1)).alias("_n"))
+    large = sizes.where(F.col("_n") > k).select(*groups)
+    small = stored.join(large, groups, "left_anti")
+    kept = stored.join(large, groups, "left_semi")
     fan_in = max(2, GROUP_ROWS // max(k, 1))
     slices = [spread]
     while slices[-1] > 1:
         slices.append(-(-slices[-1] // fan_in))
-    kept = df.withColumn("_slice", F.pmod(F.xxhash64(*order), F.lit(spread)))
+    kept = kept.withColumn("_slice", F.pmod(F.xxhash64(*order), F.lit(spread)))
     for width in slices:
         kept = kept.withColumn("_slice", F.pmod("_slice", F.lit(width)))
         ranked = Window.partitionBy(*groups, "_slice").orderBy(*order)
         kept = kept.withColumn("_rank", F.row_number().over(ranked)).where(F.col("_rank") <= k)
-    return kept.drop("_slice", "_rank")
+    return small.unionByName(kept.drop("_slice", "_rank"))
 
 
 # Up to here a plain sort-and-limit keeps the merge on one task small.

@@ -47,16 +47,12 @@ def archive_rows(payloads: DataFrame, semantics: str = REFERENCE) -> DataFrame:
     return urls.select(F.lower(F.btrim("cell", F.lit(WHITESPACE))).alias("url")).distinct()
 
 
-def archive_captures(
-    cdx: DataFrame,
-    year: int | None = None,
-    limit: int = LIMIT_PER_HOST,
-    semantics: str = REFERENCE,
+def usable_captures(
+    cdx: DataFrame, year: int | None = None, semantics: str = REFERENCE
 ) -> DataFrame:
-    """Archived URLs worth a scan: ``(fqdn, urlkey, original)``.
+    """The first capture of each URL key: ``(fqdn, urlkey, original)``.
 
-    Keeps usable statuses and media types of the last years, the first capture of
-    each URL key, and per host the first ``limit`` keys in key order. In
+    Only captures of the last years with a usable status and media type count. In
     ``reference`` a media type must match an excluded pattern whole; ``intended``
     also drops types that start with one.
     """
@@ -74,5 +70,15 @@ def archive_captures(
     collapsed = usable.groupBy("fqdn", "urlkey").agg(
         F.min(F.struct("ts", "original")).alias("first")
     )
-    keys = collapsed.select("fqdn", "urlkey", F.col("first.original").alias("original"))
+    return collapsed.select("fqdn", "urlkey", F.col("first.original").alias("original"))
+
+
+def archive_captures(
+    cdx: DataFrame,
+    year: int | None = None,
+    limit: int = LIMIT_PER_HOST,
+    semantics: str = REFERENCE,
+) -> DataFrame:
+    """Archived URLs worth a scan: per host the first ``limit`` keys in key order."""
+    keys = usable_captures(cdx, year, semantics)
     return first_per_group(keys, ["fqdn"], ["urlkey"], limit)

@@ -94,7 +94,7 @@ def test_archive_captures(spark):
 def test_archive_filters_reach_the_scan(spark, tmp_path):
     spark.createDataFrame([("h", "k", "o", "text/html", 200, datetime(2024, 1, 1))], schemas.CDX).write.parquet(
         str(tmp_path / "cdx"))
-    found = archive.archive_captures(spark.read.schema(schemas.CDX).parquet(str(tmp_path / "cdx")), 2024)
+    found = archive.usable_captures(spark.read.schema(schemas.CDX).parquet(str(tmp_path / "cdx")), 2024)
     spark.conf.set("spark.sql.maxMetadataStringLength", "1000")
     plan = found._jdf.queryExecution().executedPlan().toString()
     spark.conf.unset("spark.sql.maxMetadataStringLength")
