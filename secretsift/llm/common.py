@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
+from pyarrow import fs
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
-from secretsift.session import cut_lineage
+from secretsift.session import cut_lineage, work_folder
 
 # A word is a run of anything but ASCII white space.
 WORD = r"[^\x20\x09-\x0D]+"
@@ -44,6 +45,24 @@ def stored(df: DataFrame) -> DataFrame:
         conf.set(_CLEANUP, before)
 
 
+def store_of(path: str) -> tuple[fs.FileSystem, str]:
+    """The file system of a path or URI, and the path inside it."""
+    if path.startswith("file:"):
+        return fs.LocalFileSystem(), "/" + path[5:].lstrip("/")
+    return fs.FileSystem.from_uri(path) if "://" in path else (fs.LocalFileSystem(), path)
+
+
+def released(*frames: DataFrame) -> None:
+    """Remove tables made by ``stored`` that no unfinished result reads any more."""
+    for df in frames:
+        files = df.inputFiles()
+        if files:
+            store, folder = store_of(files[0].rpartition("/")[0])
+            _, base = store_of(work_folder(df.sparkSession))
+            if folder.startswith(base.rstrip("/") + "/"):
+                store.delete_dir(folder)
+
+
 def id_cuts(df: DataFrame, column: str, parts: int) -> list[int]:
     """At most ``parts`` sorted values of ``column`` that cut it into ranges of like size.
 
@@ -115,7 +134,8 @@ def components(links: DataFrame) -> DataFrame:
         down = large.join(small, F.col("a") == F.col("of")).where("b <> m").select(
             F.col("b").alias("a"), F.col("m").alias("b"))
         keep = small.select(F.col("of").alias("a"), F.col("m").alias("b"))
-        edges = stored(keep.unionByName(down).where("a <> b").distinct())
+        before, edges = edges, stored(keep.unionByName(down).where("a <> b").distinct())
+        released(before)
         now = _digest(edges)
         if now == state:
             break

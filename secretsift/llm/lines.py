@@ -21,7 +21,7 @@ from functools import reduce
 
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
-from secretsift.llm.common import ascii_lower, id_cuts, range_of, stored, whole
+from secretsift.llm.common import ascii_lower, id_cuts, range_of, released, stored, whole
 
 MIN_CHARS, MIN_DOCS = 40, 5
 BATCHES = 4
@@ -65,6 +65,7 @@ class LineRuns:
             merged = reduce(DataFrame.unionByName, self.levels[level])
             parts = int(self.spark.conf.get("spark.sql.shuffle.partitions"))
             merged = stored(merged.repartitionByRange(parts, *KEY).sortWithinPartitions(*KEY))
+            released(*self.levels[level])
             self.levels[level] = []
             if level + 1 == len(self.levels):
                 self.levels.append([])
@@ -88,7 +89,8 @@ def dropped_lines(docs: DataFrame, min_chars: int, min_docs: int, batches: int)
         "id", "body_hash", "at", F.xxhash64("line").alias("h1"), F.xxhash64(F.lit(1), "line").alias("h2")))
     held = lines.groupBy(*KEY, "id").agg(F.lit(1).alias("one"))
     frequent = held.groupBy(*KEY).agg(F.count("*").alias("docs")).where(F.col("docs") >= min_docs).select(*KEY)
-    held = stored(lines.join(frequent, KEY).select("id", "body_hash", "at", *KEY))
+    every, held = lines, stored(lines.join(frequent, KEY).select("id", "body_hash", "at", *KEY))
+    released(every)
     cuts = id_cuts(held, "id", batches)
     ranged = held.withColumn("range", range_of(F.col("id"), cuts))
     runs = LineRuns(docs.sparkSession)
@@ -96,7 +98,9 @@ def dropped_lines(docs: DataFrame, min_chars: int, min_docs: int, batches: int)
         runs.absorb(ranged.where(F.col("range") == batch).select(*KEY, "id"), "id")
     lost = held.join(runs.table(), KEY).where(~F.col("id").eqNullSafe(F.col("keeper")))
     # Repeated rows list a position more than once; one document's lines bound the set.
-    return lost.groupBy("id", "body_hash").agg(F.collect_set("at").alias("gone"))
+    gone = stored(lost.groupBy("id", "body_hash").agg(F.collect_set("at").alias("gone")))
+    released(held, *runs.runs())
+    return gone
 
 
 def dedup_lines(df: DataFrame, key: str = "doc_id", text: str = "text", min_chars: int = MIN_CHARS,

@@ -32,7 +32,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, functions as F
 
-from secretsift.llm.common import components, numbered, stored
+from secretsift.llm.common import components, numbered, released, stored
 from secretsift.llm.tokens import groups, mixed, runs, word_hashes
 
 SHINGLE, PERCENT = 5, 80
@@ -141,7 +141,9 @@ def _confirmed(pairs: DataFrame, texts: DataFrame, shingle: int, percent: int) -
     joined = pairs.join(left, "a").join(right, "b")
     common = F.size(F.array_intersect("set_a", "set_b")).cast("long")
     union = F.size("set_a") + F.size("set_b") - common
-    return stored(joined.where(100 * common >= percent * union).select("a", "b"))
+    links = stored(joined.where(100 * common >= percent * union).select("a", "b"))
+    released(pairs, sets)
+    return links
 
 
 def near_duplicates(df: DataFrame, key: str = "doc_id", text: str = "text", shingle: int = SHINGLE,
@@ -186,6 +188,7 @@ def components_of(texts: DataFrame, shingle: int, percent: int) -> DataFrame:
     more = _confirmed(rest, texts, shingle, percent)
     if more.limit(1).count():
         roots = stored(components(links.unionByName(more)))
+    released(nodes, banded, placed)
 
     members = signed.select("row_id", "id", "n_shingles", "mark").join(classes.withColumnRenamed("mark", "of"),
                                                                      F.col("mark") == F.col("of"), "left")

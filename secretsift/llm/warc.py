@@ -35,7 +35,7 @@ from pyspark.sql.datasource import (
 )
 from pyspark.sql.types import StructType
 
-from secretsift.llm.common import whole
+from secretsift.llm.common import store_of, whole
 from secretsift.session import new_work_path
 
 SCHEMA = ("record_type string, record_id string, target_uri string, date string, refers_to string, "
@@ -54,12 +54,6 @@ _END, _CHUNK, _BATCH_BYTES = b"\r\n\r\n", 1 << 14, 8 << 20
 _DATE = "1970-01-01T00:00:00Z"
 
 
-def _store(path: str) -> tuple[fs.FileSystem, str]:
-    if path.startswith("file:"):
-        return fs.LocalFileSystem(), "/" + path[5:].lstrip("/")
-    return fs.FileSystem.from_uri(path) if "://" in path else (fs.LocalFileSystem(), path)
-
-
 # Writing
 
 def _member(record: bytes) -> bytes:
@@ -108,7 +102,7 @@ class WarcWriter(DataSourceArrowWriter):
         self.path = path
 
     def write(self, iterator: Iterator[pa.RecordBatch]) -> _Written:
-        store, folder = _store(self.path)
+        store, folder = store_of(self.path)
         store.create_dir(folder, recursive=True)
         task, names, out = TaskContext.get().partitionId(), [], None
         try:
@@ -126,14 +120,14 @@ class WarcWriter(DataSourceArrowWriter):
         return _Written(names)
 
     def commit(self, messages: list[_Written]) -> None:
-        store, folder = _store(self.path)
+        store, folder = store_of(self.path)
         store.create_dir(folder, recursive=True)
         names = sorted(n for m in messages if m for n in m.files)
         with store.open_output_stream(f"{folder}/{MANIFEST}") as out:
             out.write(json.dumps(names).encode())
 
     def abort(self, messages: list[_Written]) -> None:
-        store, folder = _store(self.path)
+        store, folder = store_of(self.path)
         for name in (n for m in messages if m for n in m.files):
             store.delete_file(f"{folder}/{name}")
 
@@ -242,7 +236,7 @@ class WarcReader(DataSourceReader):
                 yield f
 
     def partitions(self) -> list[_File]:
-        store, folder = _store(self.path)
+        store, folder = store_of(self.path)
         if store.get_file_info(f"{folder}/{MANIFEST}").type == fs.FileType.File:
             names = json.loads(store.open_input_stream(f"{folder}/{MANIFEST}").read())
         else:
@@ -261,7 +255,7 @@ class WarcReader(DataSourceReader):
     def read(self, partition: _File) -> Iterator[pa.RecordBatch]:
         if not partition.path:
             return
-        store, path = _store(partition.path)
+        store, path = store_of(partition.path)
         rows, size = [], 0
         with store.open_input_file(path) as f:
             for row in read_records(f, self.wanted, self.payload):
