@@ -6,6 +6,7 @@ run, each run is represented by the least of its inner runs of ``ANCHOR`` words;
 runs have equal representatives, so only runs whose representative occurs twice are
 looked at in full.
 
+Texts that are equal as a whole are found first; only the first of them goes further.
 Edges are counted by hash. Where all documents that hold an edge continue with the
 same next edge, and that edge occurs nowhere else, the two lie on one nonbranching
 path; joining every edge with its successor finds these links, and the places of
@@ -30,12 +31,14 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window, functions as F
 
-from secretsift.llm.common import numbered, stored
+from secretsift.llm.common import numbered, released, stored
 from secretsift.llm.tokens import groups, mixed, runs, word_hashes
 
 WINDOW = 20
 ANCHOR = 6
 _INNER = WINDOW - ANCHOR + 1
+# End of the span of a whole text.
+WHOLE = 2**31 - 1
 
 
 def _representatives(words: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -104,13 +107,26 @@ def _edges(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                 names=["edge", "row_id", "at", "check", "next", "again"])
 
 
-def repeated_edges(texts: DataFrame) -> DataFrame:
-    """Windows of each text that may be repeated: ``edge``, ``row_id``, ``at``, ``check``, ``next``, ``again``."""
-    anchors = stored(texts.mapInArrow(_anchors, "anchor long, row_id long, at int"))
+def copies(texts: DataFrame) -> DataFrame:
+    """Rows whose whole text an earlier row has: ``row_id`` and the first row, ``source``."""
+    marked = texts.select("row_id", F.xxhash64("text").alias("h1"), F.xxhash64(F.lit(1), "text").alias("h2"))
+    groups = marked.groupBy("h1", "h2").agg(F.min("row_id").alias("source"), F.max("row_id").alias("last"))
+    return marked.join(groups.where("source <> last"), ["h1", "h2"]).where("row_id <> source").select("row_id", "source")
+
+
+def repeated_edges(texts: DataFrame, skipped: DataFrame) -> DataFrame:
+    """Windows that may be repeated: ``edge``, ``row_id``, ``at``, ``check``, ``next``, ``again``.
+
+    Rows in ``skipped`` are left out.
+    """
+    anchors = texts.mapInArrow(_anchors, "anchor long, row_id long, at int")
+    anchors = stored(anchors.join(skipped.select("row_id"), "row_id", "left_anti"))
     twice = anchors.groupBy("anchor").agg(F.count("*").alias("n")).where("n > 1").select("anchor")
     held = anchors.join(twice, "anchor").groupBy("row_id").agg(F.collect_list("at").alias("anchors"))
-    return stored(texts.join(held, "row_id").mapInArrow(
+    edges = stored(texts.join(held, "row_id").mapInArrow(
         _edges, "edge long, row_id long, at int, check int, next long, again boolean"))
+    released(anchors)
+    return edges
 
 
 def compacted_paths(edges: DataFrame) -> DataFrame:
@@ -132,20 +148,27 @@ def compacted_paths(edges: DataFrame) -> DataFrame:
         F.min("at").alias("source_at"), F.count("*").alias("length"),
         F.max(F.when(F.col("linked").isNull(), F.col("edge"))).alias("edge"),
         F.max(F.when(F.col("linked").isNull(), F.col("check"))).alias("source_check"))
-    return paths.select("edge", "length", "source", "source_at", "source_check")
+    out = stored(paths.select("edge", "length", "source", "source_at", "source_check"))
+    released(graph)
+    return out
 
 
 def repeated_spans(texts: DataFrame) -> DataFrame:
     """Word spans of each text that occur earlier: ``row_id``, ``first``, ``last`` (exclusive), source place."""
-    edges = repeated_edges(texts)
-    paths = stored(compacted_paths(edges)).withColumnRenamed("edge", "of")
-    heads = edges.where("NOT again").join(paths, F.col("edge") == F.col("of")).where(
+    same = stored(copies(texts))
+    edges = repeated_edges(texts, same)
+    paths = compacted_paths(edges)
+    heads = edges.where("NOT again").join(paths.withColumnRenamed("edge", "of"), F.col("edge") == F.col("of")).where(
         (F.col("row_id") > F.col("source")) & (F.col("check") == F.col("source_check")))
     spans = heads.select("row_id", F.col("at").alias("first"), (F.col("at") + F.col("length") - 1 + WINDOW).alias("last"),
                          "source", "source_at")
     own = edges.where("again").select("row_id", F.col("at").alias("first"), (F.col("at") + WINDOW).cast("long").alias("last"),
                                       F.col("row_id").alias("source"), F.lit(None).cast("int").alias("source_at"))
-    return spans.unionByName(own)
+    equal = same.select("row_id", F.lit(0).alias("first"), F.lit(WHOLE).cast("long").alias("last"), "source",
+                        F.lit(0).alias("source_at"))
+    found = stored(spans.unionByName(own).unionByName(equal))
+    released(same, edges, paths)
+    return found
 
 
 def _cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -154,10 +177,12 @@ def _cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for text, firsts, lasts in zip(batch.column("text"), batch.column("firsts"), batch.column("lasts")):
             words = (text.as_py() or "").encode().split()
             counts.append(len(words))
-            if firsts.is_valid:
+            # A copy of a text too short for a window is whole already.
+            if firsts.is_valid and len(words) >= WINDOW:
                 change = np.zeros(len(words) + 1, dtype=np.int64)
                 np.add.at(change, firsts.values.to_numpy(zero_copy_only=False), 1)
-                np.add.at(change, lasts.values.to_numpy(zero_copy_only=False), -1)
+                ends = np.minimum(lasts.values.to_numpy(zero_copy_only=False), len(words))
+                np.add.at(change, ends, -1)
                 words = [w for w, c in zip(words, np.cumsum(change)) if not c]
             removed.append(counts[-1] - len(words))
             kept.append(b" ".join(words).decode())
