@@ -3,18 +3,22 @@
 A document's set holds the hashes of its distinct runs of ``shingle`` words, A-Z
 lower-cased. Equal sets form a class, which is handled once. MinHash samples of
 each class are cut into bands; classes that agree in a band are candidates. An odd
-sketch folds all samples into 256 parity bits: the population count of the XOR of
+sketch folds all samples into 512 parity bits: the population count of the XOR of
 two sketches tells how many samples differ, so pairs far below the threshold fall
 out without touching their sets. What is left is confirmed on the sets.
 
 No bucket is expanded into all its pairs. First its smallest class is compared with
 its others; after the components of these links are known, only classes that are
 not yet connected with that smallest class meet the rest of the bucket, and only
-across components. Links inside a component cannot change it.
+across components; the same holds for the bands after the first few. Links inside a
+component cannot change it. Shingles that no other
+class in these buckets has bound what two of them can share; pairs that stay
+below the threshold even so are never formed, which is exact and keeps a large group
+of texts that are almost near duplicates from being expanded.
 
 Two texts at similarity 0.8 agree in none of the 24 bands of 4 samples with
 probability (1 - 0.8**4)**24 = 3e-6; their sketches differ in more than ``MOST_ODD``
-bits with less than that.
+bits with about as little.
 
 Defined results: texts without words are linked with nothing and are their own
 component; a text with fewer words than a shingle is one shingle; rows of one id
@@ -37,12 +41,14 @@ from secretsift.llm.tokens import groups, mixed, runs, word_hashes
 
 SHINGLE, PERCENT = 5, 80
 BANDS, ROWS = 24, 4
-BITS = 256
-# At similarity 0.8 a sketch pair differs in 33 bits on average; 75 is over six
-# standard deviations of samples and sketch beyond it.
-MOST_ODD = 75
-
-_SAMPLES = BANDS * ROWS
+BITS = 512
+# At similarity 0.8 a sketch pair differs in 84 bits on average, with a standard
+# deviation of 10 from samples and sketch.
+MOST_ODD = 130
+# Bands whose buckets are linked first; the others only link what these have left apart.
+FIRST_BANDS = 6
+
+_SAMPLES = 256
 _RNG = np.random.default_rng(11)
 _MULTIPLY = _RNG.integers(1, 2**63, _SAMPLES, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 _ADD = _RNG.integers(1, 2**63, _SAMPLES, dtype=np.uint64)
@@ -72,8 +78,8 @@ def minhashes(values: np.ndarray) -> np.ndarray:
 
 
 def odd_sketch(samples: np.ndarray) -> np.ndarray:
-    """Parity of the samples that fall to each of 256 bits, as four 64-bit words."""
-    odd = np.bincount((samples >> np.uint64(56)).astype(np.int64), minlength=BITS) & 1
+    """Parity of the samples that fall to each bit, as 64-bit words."""
+    odd = np.bincount((samples >> np.uint64(64 - 9)).astype(np.int64), minlength=BITS) & 1
     return np.packbits(odd.astype(np.uint8)).view(np.int64)
 
 
@@ -102,7 +108,8 @@ def _signatures(batches: Iterator[pa.RecordBatch], shingle: int) -> Iterator[pa.
 
 def runs_of(samples: np.ndarray) -> np.ndarray:
     """One hash per band; the samples carry their position, so bands never mix."""
-    return np.bitwise_xor.reduce(mixed(samples * np.uint64(0x9FB21C651E98DF25)).reshape(BANDS, ROWS), axis=1).view(np.int64)
+    used = mixed(samples[: BANDS * ROWS] * np.uint64(0x9FB21C651E98DF25))
+    return np.bitwise_xor.reduce(used.reshape(BANDS, ROWS), axis=1).view(np.int64)
 
 
 def _sets(batches: Iterator[pa.RecordBatch], shingle: int) -> Iterator[pa.RecordBatch]:
@@ -130,12 +137,19 @@ def _pairs(found: DataFrame, nodes: DataFrame) -> DataFrame:
     return close.select("a", "b")
 
 
+def _members(nodes: DataFrame, texts: DataFrame, shingle: int) -> DataFrame:
+    """The full sets of ``nodes`` (distinct): ``node``, ``members``."""
+    # One plan at every size: the number of ids grows with the table.
+    ids = nodes.select(F.col("node").alias("row_id")).hint("merge")
+    held = texts.select("row_id", "text").join(ids, "row_id", "left_semi")
+    return stored(held.mapInArrow(partial(_sets, shingle=shingle), "node long, members array<long>"))
+
+
 def _confirmed(pairs: DataFrame, texts: DataFrame, shingle: int, percent: int) -> DataFrame:
     """The pairs whose full sets are similar enough."""
     pairs = stored(pairs)
-    needed = pairs.select(F.col("a").alias("row_id")).unionByName(pairs.select(F.col("b").alias("row_id"))).distinct()
-    held = texts.join(needed, "row_id", "left_semi").select("row_id", "text")
-    sets = stored(held.mapInArrow(partial(_sets, shingle=shingle), "node long, members array<long>"))
+    nodes = pairs.select(F.col("a").alias("node")).unionByName(pairs.select(F.col("b").alias("node"))).distinct()
+    sets = _members(nodes, texts, shingle)
     left = sets.select(F.col("node").alias("a"), F.col("members").alias("set_a"))
     right = sets.select(F.col("node").alias("b"), F.col("members").alias("set_b"))
     joined = pairs.join(left, "a").join(right, "b")
@@ -146,6 +160,38 @@ def _confirmed(pairs: DataFrame, texts: DataFrame, shingle: int, percent: int) -
     return links
 
 
+def _shareable(nodes: DataFrame, texts: DataFrame, shingle: int) -> DataFrame:
+    """Of each of ``nodes`` the size of its set and how much of it another one has: ``node``, ``n``, ``shared``."""
+    sets = _members(nodes, texts, shingle)
+    rows = sets.select("node", F.explode("members").alias("member"))
+    alone = rows.groupBy("member").agg(F.count("*").alias("nodes"), F.min("node").alias("node")).where("nodes = 1")
+    alone = alone.groupBy("node").agg(F.count("*").alias("alone"))
+    sizes = sets.select("node", F.size("members").cast("long").alias("n"))
+    out = sizes.join(alone, "node", "left")
+    out = stored(out.select("node", "n", (F.col("n") - F.coalesce("alone", F.lit(0))).alias("shared")))
+    released(sets)
+    return out
+
+
+def _root_of(roots: DataFrame, side: str) -> DataFrame:
+    return roots.select(F.col("node").alias(side), F.col("root").alias(f"root_{side}"))
+
+
+def _across(placed: DataFrame, percent: int) -> DataFrame:
+    """Pairs inside a bucket that may be links between components, one of them ``apart``."""
+
+    def side(of: str) -> list[Column]:
+        return [F.col(c).alias(f"{c}_{of}") for c in ("band", "node", "root", "apart", "sketch", "n", "shared")]
+
+    apart, other = placed.where("apart").select(*side("a")), placed.select(*side("b"))
+    most = F.least("shared_a", "shared_b")
+    may = 100 * most >= percent * (F.col("n_a") + F.col("n_b") - most)
+    met = apart.join(other, (F.col("band_a") == F.col("band_b")) & (F.col("root_a") != F.col("root_b")) & may
+                     & (~F.col("apart_b") | (F.col("node_a") < F.col("node_b")))
+                     & (_odd(F.col("sketch_a"), F.col("sketch_b")) <= MOST_ODD))
+    return met.select(F.col("node_a").alias("a"), F.col("node_b").alias("b"))
+
+
 def near_duplicates(df: DataFrame, key: str = "doc_id", text: str = "text", shingle: int = SHINGLE,
                     percent: int = PERCENT) -> DataFrame:
     """``row_id``, ``id``, ``n_shingles`` and ``component_id`` (smallest id) of each document."""
@@ -161,13 +207,20 @@ def components_of(texts: DataFrame, shingle: int, percent: int) -> DataFrame:
     classes = signed.where("n_shingles > 0").groupBy("mark").agg(F.min("row_id").alias("node"))
     nodes = signed.join(classes.select("node"), signed.row_id == classes.node, "left_semi")
     nodes = stored(nodes.select(F.col("row_id").alias("node"), "bands", "sketch"))
-    banded = nodes.select("node", F.explode("bands").alias("band"))
+    banded = nodes.select("node", F.posexplode("bands").alias("slot", "band"))
     shared = banded.groupBy("band").agg(F.min("node").alias("center"), F.max("node").alias("last"))
     banded = stored(banded.join(shared.where("center <> last").select("band", "center"), "band"))
     sketches = nodes.select("node", "sketch")
 
-    star = banded.where("node <> center").select(F.col("center").alias("a"), F.col("node").alias("b"))
-    links = _confirmed(_pairs(star, sketches), texts, shingle, percent)
+    star = banded.where("node <> center").select("slot", F.col("center").alias("a"), F.col("node").alias("b"))
+    early = _pairs(star.where(F.col("slot") < FIRST_BANDS), sketches)
+    links = _confirmed(early, texts, shingle, percent)
+    roots = stored(components(links))
+    # The other bands repeat most of these pairs; only those between components count.
+    late = star.where(F.col("slot") >= FIRST_BANDS).select("a", "b").distinct()
+    late = late.join(_root_of(roots, "a"), "a", "left").join(_root_of(roots, "b"), "b", "left").where(
+        F.coalesce("root_a", "a") != F.coalesce("root_b", "b"))
+    links = links.unionByName(_confirmed(_pairs(late, sketches), texts, shingle, percent))
 
     # What a bucket's first comparison has left apart.
     roots = stored(components(links))
@@ -176,19 +229,18 @@ def components_of(texts: DataFrame, shingle: int, percent: int) -> DataFrame:
     placed = placed.join(central, "center", "left").withColumn(
         "center_root", F.coalesce("center_root", "center")).where("node <> center").select(
         "band", "node", "root", (F.col("root") != F.col("center_root")).alias("apart"))
-    placed = stored(placed.join(sketches, "node"))
-    apart = placed.where("apart").select(
-        "band", F.col("node").alias("a"), F.col("root").alias("root_a"), F.col("sketch").alias("sketch_a"))
-    other = placed.select("band", F.col("node").alias("b"), F.col("root").alias("root_b"),
-                          F.col("sketch").alias("sketch_b"), F.col("apart").alias("apart_b"))
-    met = apart.join(other, (apart.band == other.band) & (F.col("root_a") != F.col("root_b"))
-                     & (~F.col("apart_b") | (F.col("a") < F.col("b")))
-                     & (_odd(F.col("sketch_a"), F.col("sketch_b")) <= MOST_ODD))
+    placed = stored(placed)
+    # Only buckets with a class that is apart, and more than it beside the center.
+    open_ = placed.groupBy("band").agg(F.max("apart").alias("any"), F.count("*").alias("n")).where("any AND n > 1")
+    open_ = placed.join(open_.select("band"), "band")
+    shareable = _shareable(open_.select("node").distinct(), texts, shingle)
+    meeting = stored(open_.join(sketches, "node").join(shareable, "node"))
+    met = _across(meeting, percent)
     rest = met.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
     more = _confirmed(rest, texts, shingle, percent)
     if more.limit(1).count():
         roots = stored(components(links.unionByName(more)))
-    released(nodes, banded, placed)
+    released(nodes, banded, placed, shareable, meeting)
 
     members = signed.select("row_id", "id", "n_shingles", "mark").join(classes.withColumnRenamed("mark", "of"),
                                                                      F.col("mark") == F.col("of"), "left")
