@@ -1,15 +1,18 @@
 """SentencePiece encoding and decoding of a merge-type model, exact, by backtracking.
 
-A text is cut where no piece can reach across: before a run of spaces and after a
-line feed. Each part is encoded from left to right: an Aho-Corasick automaton finds
+A text is cut where no piece of the model reaches across: before a run of spaces, around
+line feeds, and between Latin letters and other
+characters. Each part is encoded from left to right: an Aho-Corasick automaton finds
 all pieces at all places, the longest is tried first, and a piece may follow
 another only if merging the two together again by the rules of the model gives the
 same two pieces. Where no piece fits, the place is marked as failed in a bit field
 and the piece before it is shortened. A sequence whose neighbours are all compatible
 is the one that merging would give.
 
-Results for parts and for pairs of pieces are remembered up to fixed numbers of
-entries. Characters that no piece holds become byte pieces.
+Most parts need no step back: if the longest pieces, one after the other, are
+compatible, they are the answer. Results for parts and for pairs of pieces are
+remembered up to fixed numbers of entries; parts that were used since the last time
+the store was full stay. Characters that no piece holds become byte pieces.
 
 Defined results: null is the empty text, which has no pieces; texts of any length
 are handled whole; an empty table gives an empty result. The model's path is a
@@ -30,8 +33,9 @@ from pyspark.sql import DataFrame, functions as F
 from pyspark.sql.types import ArrayType, IntegerType, StructType
 
 SPACE = "▁"
+_LATIN = r"A-Za-zÀ-ÖØ-öø-ɏ"  # letters, as a character class
 # Entries remembered per worker, and the longest part that is.
-PARTS, PART_CHARS, PAIRS = 200_000, 40, 500_000
+PARTS, PART_CHARS, PAIRS = 250_000, 40, 500_000
 # Output rows are sent in batches of about this many pieces.
 BATCH_PIECES = 1 << 20
 
@@ -85,9 +89,8 @@ class Codec:
         self.automaton.make_automaton()
         self.pairs: dict[int, bool] = {}
         self.parts: dict[str, tuple[int, ...]] = {}
-        # Cuts are only taken where no piece crosses them.
-        inner = any(SPACE in t.lstrip(SPACE) or "\n" in t for t in self.ids)
-        self.cut = re.compile(r"(?s).+" if inner else rf"{SPACE}*[^{SPACE}\n]+\n*|{SPACE}+\n*|\n+")
+        self.older: dict[str, tuple[int, ...]] = {}
+        self.cut = re.compile(self._cuts())
         self.surface = [t.replace(SPACE, " ").encode() for t in pieces.texts]
         for b, i in enumerate(pieces.byte_ids):
             self.surface[i] = bytes([b])
@@ -95,6 +98,15 @@ class Codec:
             self.surface[i] = b""
         self.surface[pieces.unknown] = " ⁇ ".encode()
 
+    def _cuts(self) -> str:
+        """A pattern of the parts of a text: cuts are only taken where no piece crosses them."""
+        letter, crossed = re.compile(f"[{_LATIN}]"), {t[i : i + 2] for t in self.ids for i in range(len(t) - 1)}
+        if any("\n" in two or (two[1] == SPACE and two[0] != SPACE) for two in crossed):
+            return r"(?s).+"
+        if any(two[0] != SPACE and bool(letter.match(two[0])) != bool(letter.match(two[1])) for two in crossed):
+            return rf"{SPACE}*[^{SPACE}\n]+|{SPACE}+|\n+"
+        return rf"{SPACE}*(?:[{_LATIN}]+|[^{SPACE}\n{_LATIN}]+)|{SPACE}+|\n+"
+
     def merged(self, text: str) -> list[str]:
         """The pieces of a short text by the model's rule: best pair first, the left one of equals."""
         parts = list(text)
@@ -121,13 +133,14 @@ class Codec:
     def _run(self, text: str) -> list[int]:
         """Pieces of a text whose characters are all known."""
         size, lengths = len(text), self.lengths
+        out = [i for _, i in self.automaton.iter_long(text)]
+        if sum(map(lengths.__getitem__, out)) == size and all(map(self.compatible, out, out[1:])):
+            return out
         found: list[list[int]] = [[] for _ in range(size)]
         for end, i in self.automaton.iter(text):
             found[end + 1 - lengths[i]].append(i)  # by growing length
-        if lengths[found[0][-1]] == size:
-            return [found[0][-1]]
         failed = bytearray((size >> 3) + 1)
-        out: list[int] = []
+        out = []
         tried: list[int] = []  # index of each piece of ``out`` among those at its place
         at, index = 0, len(found[0]) - 1
         while at < size:
@@ -150,6 +163,8 @@ class Codec:
         return out
 
     def _part(self, part: str) -> tuple[int, ...]:
+        if self.characters.issuperset(part):
+            return tuple(self._run(part))
         ids: list[int] = []
         run: list[str] = []
         for c in part:
@@ -168,18 +183,23 @@ class Codec:
         """Ids of a text, without begin or end ids."""
         if not text:
             return []
-        known, out = self.parts, []
-        for part in self.cut.findall(SPACE + text.replace(" ", SPACE)):
-            ids = known.get(part)
+        parts = self.cut.findall(SPACE + text.replace(" ", SPACE))
+        out = list(map(self.parts.get, parts))
+        for i, ids in enumerate(out):
             if ids is None:
-                ids = self._part(part)
-                if len(part) <= PART_CHARS:
-                    if len(known) >= PARTS:
-                        known.clear()
-                    known[part] = ids
-            out.append(ids)
+                out[i] = self._remembered(parts[i])
         return list(chain.from_iterable(out))
 
+    def _remembered(self, part: str) -> tuple[int, ...]:
+        """Pieces of a part that is not in the newer store."""
+        if len(part) > PART_CHARS:
+            return self._part(part)
+        ids = self.parts.get(part) or self.older.get(part) or self._part(part)
+        if len(self.parts) >= PARTS:
+            self.older, self.parts = self.parts, {}
+        self.parts[part] = ids
+        return ids
+
     def decode(self, ids: list[int]) -> str:
         """The text of ids: spaces restored, the one added in front removed."""
         first = next((i for i in ids if i not in self.pieces.control), None)
