@@ -16,8 +16,8 @@ class in these buckets has bound what two of them can share; pairs that stay
 below the threshold even so are never formed, which is exact and keeps a large group
 of texts that are almost near duplicates from being expanded.
 
-Two texts at similarity 0.8 agree in none of the 24 bands of 4 samples with
-probability (1 - 0.8**4)**24 = 3e-6; their sketches differ in more than ``MOST_ODD``
+Two texts at similarity 0.8 agree in none of the 42 bands of 6 samples with
+probability (1 - 0.8**6)**42 = 3e-6; their sketches differ in more than ``MOST_ODD``
 bits with about as little.
 
 Defined results: texts without words are linked with nothing and are their own
@@ -40,13 +40,13 @@ from secretsift.llm.common import components, numbered, released, stored
 from secretsift.llm.tokens import groups, mixed, runs, word_hashes
 
 SHINGLE, PERCENT = 5, 80
-BANDS, ROWS = 24, 4
+BANDS, ROWS = 42, 6
 BITS = 512
 # At similarity 0.8 a sketch pair differs in 84 bits on average, with a standard
 # deviation of 10 from samples and sketch.
 MOST_ODD = 130
 # Bands whose buckets are linked first; the others only link what these have left apart.
-FIRST_BANDS = 6
+FIRST_BANDS = 10
 
 _SAMPLES = 256
 _RNG = np.random.default_rng(11)
@@ -207,12 +207,24 @@ def components_of(texts: DataFrame, shingle: int, percent: int) -> DataFrame:
     classes = signed.where("n_shingles > 0").groupBy("mark").agg(F.min("row_id").alias("node"))
     nodes = signed.join(classes.select("node"), signed.row_id == classes.node, "left_semi")
     nodes = stored(nodes.select(F.col("row_id").alias("node"), "bands", "sketch"))
-    banded = nodes.select("node", F.posexplode("bands").alias("slot", "band"))
+    # Nodes that share a bucket, and of these the ones that can be similar to another one at all.
+    banded = nodes.select("node", F.explode("bands").alias("band"))
     shared = banded.groupBy("band").agg(F.min("node").alias("center"), F.max("node").alias("last"))
-    banded = stored(banded.join(shared.where("center <> last").select("band", "center"), "band"))
+    meeting = banded.join(shared.where("center <> last").select("band"), "band", "left_semi")
+    bounds = _shareable(stored(meeting.select("node").distinct()), texts, shingle)
+    able = nodes.join(bounds.where(100 * F.col("shared") >= percent * F.col("n")), "node")
+    banded = stored(able.select("node", "n", "shared", F.posexplode("bands").alias("slot", "band")))
+    buckets = banded.groupBy("band").agg(
+        F.min("node").alias("center"), F.max("node").alias("last"),
+        F.min_by("n", "node").alias("center_n"), F.min_by("shared", "node").alias("center_shared"))
+    buckets = buckets.where("center <> last")
     sketches = nodes.select("node", "sketch")
 
-    star = banded.where("node <> center").select("slot", F.col("center").alias("a"), F.col("node").alias("b"))
+    most = F.least("shared", "center_shared")
+    may = 100 * most >= percent * (F.col("n") + F.col("center_n") - most)
+    met = banded.join(buckets.withColumnRenamed("band", "of"), (F.col("band") == F.col("of"))
+                      & (F.col("node") != F.col("center")) & may)
+    star = stored(met.select("slot", F.col("center").alias("a"), F.col("node").alias("b")))
     early = _pairs(star.where(F.col("slot") < FIRST_BANDS), sketches)
     links = _confirmed(early, texts, shingle, percent)
     roots = stored(components(links))
@@ -222,25 +234,22 @@ def components_of(texts: DataFrame, shingle: int, percent: int) -> DataFrame:
         F.coalesce("root_a", "a") != F.coalesce("root_b", "b"))
     links = links.unionByName(_confirmed(_pairs(late, sketches), texts, shingle, percent))
 
-    # What a bucket's first comparison has left apart.
+    # What a bucket's first comparison has left apart: buckets with more than one component.
     roots = stored(components(links))
     placed = banded.join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
-    central = roots.select(F.col("node").alias("center"), F.col("root").alias("center_root"))
-    placed = placed.join(central, "center", "left").withColumn(
-        "center_root", F.coalesce("center_root", "center")).where("node <> center").select(
-        "band", "node", "root", (F.col("root") != F.col("center_root")).alias("apart"))
-    placed = stored(placed)
-    # Only buckets with a class that is apart, and more than it beside the center.
-    open_ = placed.groupBy("band").agg(F.max("apart").alias("any"), F.count("*").alias("n")).where("any AND n > 1")
-    open_ = placed.join(open_.select("band"), "band")
-    shareable = _shareable(open_.select("node").distinct(), texts, shingle)
-    meeting = stored(open_.join(sketches, "node").join(shareable, "node"))
-    met = _across(meeting, percent)
+    mixed_ = placed.groupBy("band").agg(
+        F.min("root").alias("low"), F.max("root").alias("high"), F.count("*").alias("size"),
+        F.min_by("root", "node").alias("center_root"), F.min("node").alias("center"))
+    mixed_ = mixed_.where("low <> high AND size > 2").select("band", "center", "center_root")
+    placed = placed.join(mixed_, "band").where("node <> center").select(
+        "band", "node", "root", "n", "shared", (F.col("root") != F.col("center_root")).alias("apart"))
+    apart = stored(placed.join(sketches, "node"))
+    met = _across(apart, percent)
     rest = met.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
     more = _confirmed(rest, texts, shingle, percent)
     if more.limit(1).count():
         roots = stored(components(links.unionByName(more)))
-    released(nodes, banded, placed, shareable, meeting)
+    released(nodes, banded, star, apart, bounds)
 
     members = signed.select("row_id", "id", "n_shingles", "mark").join(classes.withColumnRenamed("mark", "of"),
                                                                      F.col("mark") == F.col("of"), "left")
