@@ -11,7 +11,6 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from secretsift.session import spread
 
 B = "chr(92)"
 Q = "chr(39)"
@@ -116,7 +115,7 @@ CAPTURE_URL = f"'https://static.example.com/js/' || {_text('doc_id')} || '.js'"
 CDX_KEY = "lower(regexp_replace(url, '[?#].*$', ''))"
 CDX_MIME = (
     "CASE page_id % 5 WHEN 0 THEN 'image/png' WHEN 1 THEN 'image/svg+xml' "
-    "WHEN 2 THEN 'image/vnd.adobe.photoshop' ELSE 'text/html' END"
+    "WHEN 2 THEN 'image/vnd.adobe.photoshop' WHEN 3 THEN NULL ELSE 'text/html' END"
 )
 CDX_STATUS = "CASE page_id % 7 WHEN 0 THEN 404 WHEN 1 THEN 202 ELSE 200 END"
 CDX_MICROS = "1664582400000000 + (page_id * 7 + k * 3) * 86400000000"
@@ -124,9 +123,8 @@ CDX_YEAR = 2024
 
 
 def table(spark: SparkSession, folder: str, name: str) -> DataFrame:
-    """A given table; its first column is its key."""
-    stored = spark.read.parquet(f"{folder}/{name}.parquet")
-    return spread(stored, stored.columns[0])
+    """A given table."""
+    return spark.read.parquet(f"{folder}/{name}.parquet")
 
 
 def pages(spark: SparkSession, folder: str) -> DataFrame:

@@ -402,7 +402,7 @@ def _flagship(semantics: str) -> str:
         f"chosen AS (SELECT u.origin_url AS base_url, u.resource_url FROM uniq u "
         f"ANTI JOIN failed f ON f.url = u.resource_url "
         f"ORDER BY CASE {tier_resource('u.resource_url', semantics)} WHEN 'high' THEN 0 WHEN 'medium' THEN 1 ELSE 2 END, "
-        "first_seq LIMIT 100000)"
+        "first_seq)"
     )
     bodies = (
         f"bodies AS (SELECT base_url, resource_url, text FROM chosen JOIN (SELECT {inputs.CAPTURE_URL} AS cu, "
@@ -439,7 +439,7 @@ def _archive_captures(end: str) -> str:
     return _with(
         _CDX,
         f"usable AS (SELECT * FROM cdx WHERE statuscode IN (200, 202) AND year(ts) BETWEEN "
-        f"{inputs.CDX_YEAR - YEARS_BACK} AND {inputs.CDX_YEAR} AND NOT regexp_matches(mimetype, '{mime}'))",
+        f"{inputs.CDX_YEAR - YEARS_BACK} AND {inputs.CDX_YEAR} AND NOT coalesce(regexp_matches(mimetype, '{mime}'), false))",
         "firsts AS (SELECT *, row_number() OVER (PARTITION BY fqdn, urlkey ORDER BY ts, original) AS c FROM usable)",
         "ranked AS (SELECT *, row_number() OVER (PARTITION BY fqdn ORDER BY urlkey) AS r FROM firsts WHERE c = 1)",
     ) + f" SELECT fqdn, urlkey, original FROM ranked WHERE r <= {TOP_PER_HOST}"
@@ -524,10 +524,10 @@ ORACLES: dict[str, str] = {
     "q06_json_hosts": _source("json_list"),
     "q06_json_hosts_int": "SELECT DISTINCT trim(fqdn) AS fqdn, source FROM (" + _source("json_list") + ")",
     "q07_archive_rows": _with(_payload(inputs.ARCHIVE_ROWS)) + " SELECT DISTINCT trim(u) AS url FROM (SELECT unnest("
-    "list_slice(string_split(replace(lower(regexp_replace(body, '[\\[\\]\"]', '', 'g')), chr(10), ''), ','), 2, 100000)) "
+    "list_slice(string_split(replace(lower(regexp_replace(body, '[\\[\\]\"]', '', 'g')), chr(10), ''), ','), 2, len(body) + 2)) "
     "AS u FROM payload) WHERE length(u) > 1",
     "q07_archive_rows_int": _with(_payload(inputs.ARCHIVE_ROWS)) + " SELECT DISTINCT lower(json_extract_string(r, '$[0]')) "
-    "AS url FROM (SELECT unnest(list_slice(CAST(body AS JSON[]), 2, 100000)) AS r FROM payload)",
+    "AS url FROM (SELECT unnest(list_slice(CAST(body AS JSON[]), 2, len(body) + 2)) AS r FROM payload)",
     "q08_archive_filter": _archive_captures("$"),
     "q08_archive_filter_int": _archive_captures(""),
     "q09_response_normalise": _with(_ANSWERS, _ANSWER_TAGS) + " " + _ANSWER_SCRIPTS,

@@ -8,8 +8,6 @@ from secretsift.functions.patterns import HIGH, INTERNAL, LOW, MEDIUM, RESOURCE,
 from secretsift.operators.topk import PLAIN_LIMIT, first_rows
 from secretsift.session import REFERENCE, cut_lineage
 
-DEFAULT_LIMIT = 100_000
-
 
 def internal_tier(url: Column, semantics: str = REFERENCE) -> Column:
     """High or low rank of an internal URL."""
@@ -43,13 +41,15 @@ def rank_resources(resources: DataFrame, semantics: str = REFERENCE) -> DataFram
 
 
 def select_first(
-    ranked: DataFrame, limit: int = DEFAULT_LIMIT, plain: int = PLAIN_LIMIT
+    ranked: DataFrame, limit: int | None = None, plain: int = PLAIN_LIMIT
 ) -> DataFrame:
-    """The ``limit`` best URLs: high before medium before low, then first seen.
+    """The ``limit`` best URLs: high before medium before low, then first seen; all without a limit.
 
     Needs ``tier`` and ``seq`` (which starts with ``page_id``). Beyond ``plain``
     the ranked list is written out once, because the selection reads it again.
     """
+    if limit is None:
+        return ranked
     if limit <= plain:
         return first_rows(ranked, "tier", "seq.page_id", ["seq"], limit, plain)
     stored = cut_lineage(ranked.withColumn("_page", F.col("seq.page_id")))
@@ -57,7 +57,7 @@ def select_first(
 
 
 def priority_distribution(
-    ranked: DataFrame, total: DataFrame, limit: int = DEFAULT_LIMIT
+    ranked: DataFrame, total: DataFrame, limit: int | None = None
 ) -> DataFrame:
     """Found and selected URLs per rank: ``tier, found, found_pct, selected, selected_pct``.
 
@@ -68,7 +68,7 @@ def priority_distribution(
         F.count_if(F.col("tier") == t).alias(name) for t, name in TIER_NAMES.items()
     ])
     high, medium, low = (F.col(TIER_NAMES[t]) for t in (HIGH, MEDIUM, LOW))
-    size = F.lit(limit).cast("long")
+    size = high + medium + low if limit is None else F.lit(limit).cast("long")
     left = lambda used: F.greatest(size - used, F.lit(0))
     selected = {
         HIGH: F.least(high, size),

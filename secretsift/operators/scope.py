@@ -13,6 +13,8 @@ from secretsift.sources.suffixes import SuffixRules
 
 # Seeds up to this number are written into the plan as a literal list.
 INLINE_SEEDS = 1_000
+# Characters a host name can have.
+HOST_CHARS = 253
 
 
 def in_scope(
@@ -28,8 +30,8 @@ def in_scope(
     ``reference`` owns a host that has the seed's label anywhere in its full name
     and gives a row per seed that matches. ``intended`` compares registered
     domains and gives one row. Adds the matched ``seed``, null where none was
-    asked. Whoever removes repeats anyway passes ``each_seed=False``: a short seed
-    list then only filters, without a row per seed and without ``seed``.
+    asked. Whoever removes repeats anyway passes ``each_seed=False``: the seeds then
+    only filter, without a row per seed and without ``seed``, however many there are.
     """
     free = F.col("part").isin(SELF, IMPORT)
     hosts = once(resources, _host=host_of(F.col("resource_url")))
@@ -76,14 +78,23 @@ def _containing_labels(hosts, seeds, rules, free, inline, each_seed) -> DataFram
         owners = F.filter(labels, lambda s: F.contains(F.col("_fqdn"), s))
         found = F.explode(F.when(free, none).otherwise(owners))
         return named.withColumn("seed", found).drop("_host", "_fqdn")
-    # Many seeds: every piece of the name as long as some label meets the seeds in
-    # an equi-join. Host names are short, so are the lists of their pieces.
-    lengths = [r[0] for r in seeds.select(F.length("label")).distinct().take(256)]
-    every = F.array_distinct(F.concat(*[_pieces(F.col("_fqdn"), n) for n in lengths]))
-    exploded = named.withColumn("_piece", F.explode(F.when(free, none).otherwise(every)))
-    labels = seeds.select(F.col("label").alias("seed"))
-    joined = exploded.join(labels, F.col("_piece") == F.col("seed"), "left")
-    return joined.where(free | F.col("seed").isNotNull()).drop("_host", "_fqdn", "_piece")
+    # Many seeds: every piece of the distinct names as long as some label meets the
+    # seeds in an equi-join; rows that are free stay out of it. A label longer than
+    # a host name can be is in none, so there are at most 253 lengths.
+    usable = seeds.where(F.length("label") <= HOST_CHARS)
+    lengths = sorted(r[0] for r in usable.select(F.length("label")).distinct().collect())
+    name = F.col("_fqdn")
+    every = [_pieces(name, n) for n in lengths] or [F.array().cast("array<string>")]
+    names = named.where(~free).select("_fqdn").distinct()
+    pieces = names.withColumn("_piece", F.explode(F.array_distinct(F.concat(*every))))
+    owners = pieces.join(usable.select(F.col("label").alias("seed")), F.col("_piece") == F.col("seed"))
+    rows, loose = named.where(~free), named.where(free).drop("_host", "_fqdn")
+    if each_seed:
+        owned = rows.join(owners.select("_fqdn", "seed"), "_fqdn")
+        loose = loose.withColumn("seed", F.lit(None).cast("string"))
+    else:
+        owned = rows.join(owners.select("_fqdn").distinct(), "_fqdn", "left_semi")
+    return owned.drop("_host", "_fqdn").unionByName(loose)
 
 
 def _pieces(name: Column, size: int) -> Column:

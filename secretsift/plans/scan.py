@@ -12,9 +12,6 @@ from secretsift.session import REFERENCE
 from secretsift.sources import recon
 from secretsift.sources.suffixes import SuffixRules
 
-# The selected list is sent to the tasks that read the bodies up to this length.
-BROADCAST_SELECTION = 200_000
-
 
 def host_scan(payloads: dict[str, DataFrame], semantics: str = REFERENCE) -> DataFrame:
     """Exports of passive sources to a set of host names."""
@@ -24,7 +21,7 @@ def host_scan(payloads: dict[str, DataFrame], semantics: str = REFERENCE) -> Dat
 def internal_url_scan(
     pages: DataFrame,
     rules: SuffixRules,
-    limit: int = prioritize.DEFAULT_LIMIT,
+    limit: int | None = None,
     semantics: str = REFERENCE,
 ) -> DataFrame:
     """Start pages to ranked internal URLs: ``url, tier, seq``."""
@@ -49,10 +46,10 @@ def resource_scan(
 def select_resources(
     resources: DataFrame,
     failed: DataFrame,
-    limit: int = prioritize.DEFAULT_LIMIT,
+    limit: int | None = None,
     semantics: str = REFERENCE,
 ) -> DataFrame:
-    """Deduplicate, drop failed URLs, rank and cut: ``origin_url, resource_url, tier, seq``."""
+    """Deduplicate, drop failed URLs, rank and, with a limit, cut: ``origin_url, resource_url, tier, seq``."""
     unique = dedup.without_failed(dedup.keep_last_origin(resources), failed)
     ranked = prioritize.rank_resources(unique, semantics)
     return prioritize.select_first(ranked, limit)
@@ -62,23 +59,19 @@ def credential_scan(
     selected: DataFrame,
     captures: DataFrame,
     suffixes: SuffixRules,
-    limit: int = prioritize.DEFAULT_LIMIT,
     rules: tuple[Rule, ...] = RULES,
 ) -> DataFrame:
     """Search the captured bodies of the selected resources; gives report rows.
 
-    The selection has at most ``limit`` rows. Up to ``BROADCAST_SELECTION`` it
-    goes to the bodies by broadcast, so bodies are filtered where they are read
-    and never shuffled.
+    Bodies are searched where they are read; only the few findings meet the
+    selection, so no body is ever shuffled, whatever the selection's size.
     """
     chosen = selected.select(F.col("origin_url").alias("base_url"), "resource_url")
-    if limit <= BROADCAST_SELECTION:
-        chosen = F.broadcast(chosen)
     bodies = captures.where(F.col("status") == 200).select(
         F.col("url").alias("resource_url"), "body"
     )
-    texts = bodies.join(chosen, "resource_url")
-    return report.report_rows(detect.find_credentials(texts, "body", rules), suffixes)
+    found = detect.find_credentials(bodies, "body", rules).join(chosen, "resource_url")
+    return report.report_rows(found, suffixes)
 
 
 def leak_scan(
@@ -87,11 +80,11 @@ def leak_scan(
     failed: DataFrame,
     captures: DataFrame,
     suffixes: SuffixRules,
-    limit: int = prioritize.DEFAULT_LIMIT,
+    limit: int | None = None,
     semantics: str = REFERENCE,
     rules: tuple[Rule, ...] = RULES,
 ) -> DataFrame:
-    """Internal pages to report rows, the whole way."""
+    """Internal pages to report rows, the whole way; all resources unless there is a ``limit``."""
     resources = resource_scan(pages, seeds, suffixes, semantics, each_seed=False)
     selected = select_resources(resources, failed, limit, semantics)
-    return credential_scan(selected, captures, suffixes, limit, rules)
+    return credential_scan(selected, captures, suffixes, rules)

@@ -65,16 +65,6 @@ def new_work_path(spark: SparkSession, name: str) -> str:
     return f"{work_folder(spark).rstrip('/')}/{name}-{uuid.uuid4().hex}"
 
 
-def spread(df: DataFrame, key: str) -> DataFrame:
-    """Give a stored table with fewer pieces than there are cores to all of them.
-
-    Text work per row is heavy, so idle cores cost more than moving a table of a
-    few pieces. A table with enough pieces, as any large one, is left as it is.
-    """
-    cores = df.sparkSession.sparkContext.defaultParallelism
-    return df if df.rdd.getNumPartitions() >= cores else df.repartition(cores, key)
-
-
 def cut_lineage(df: DataFrame) -> DataFrame:
     """Write ``df`` once under the work folder and read it back.
 

@@ -25,7 +25,6 @@ EXCLUDED_MIME_TYPES = (
 ).split()
 INCLUDED_STATUS = (200, 202)
 YEARS_BACK = 2
-LIMIT_PER_HOST = 100_000
 
 
 def archive_rows(payloads: DataFrame, semantics: str = REFERENCE) -> DataFrame:
@@ -52,7 +51,8 @@ def usable_captures(
 ) -> DataFrame:
     """The first capture of each URL key: ``(fqdn, urlkey, original)``.
 
-    Only captures of the last years with a usable status and media type count. In
+    Only captures of the last years with a usable status and media type count; an
+    unknown media type is usable. In
     ``reference`` a media type must match an excluded pattern whole; ``intended``
     also drops types that start with one.
     """
@@ -64,7 +64,7 @@ def usable_captures(
         F.col("statuscode").isin(*INCLUDED_STATUS)
         & (F.col("ts") >= F.lit(first).cast("timestamp"))
         & (F.col("ts") < F.lit(after).cast("timestamp"))
-        & ~F.rlike("mimetype", F.lit(mime))
+        & ~F.coalesce(F.rlike("mimetype", F.lit(mime)), F.lit(False))
     )
     # Captures of one key and moment are told apart by their address.
     collapsed = usable.groupBy("fqdn", "urlkey").agg(
@@ -76,9 +76,9 @@ def usable_captures(
 def archive_captures(
     cdx: DataFrame,
     year: int | None = None,
-    limit: int = LIMIT_PER_HOST,
+    limit: int | None = None,
     semantics: str = REFERENCE,
 ) -> DataFrame:
-    """Archived URLs worth a scan: per host the first ``limit`` keys in key order."""
+    """Archived URLs worth a scan: per host the first ``limit`` keys in key order, or all."""
     keys = usable_captures(cdx, year, semantics)
-    return first_per_group(keys, ["fqdn"], ["urlkey"], limit)
+    return keys if limit is None else first_per_group(keys, ["fqdn"], ["urlkey"], limit)

@@ -10,7 +10,6 @@ from secretsift.catalog import inputs, queries
 from secretsift.operators import detect, report, scope
 from secretsift.operators.rules import RULES, rule_table, rules_of
 from secretsift.plans import scan
-from secretsift.session import spread
 from secretsift.sources import suffixes
 from secretsift.streaming.incremental import run_incremental
 
@@ -161,7 +160,7 @@ def test_leak_scan_finds_the_planted_key(spark, mini_rules):
     ], schemas.CAPTURES)
     seeds = spark.createDataFrame([("x.com", "x")], "domain string, label string")
     failed = spark.createDataFrame([("https://www.x.com/bad.js",)], "url string")
-    for limit in (100, 100_000):
+    for limit in (100, 100_000, None):
         rows = scan.leak_scan(pages, seeds, failed, captured, mini_rules, limit).collect()
         assert [(r.base_url, r.resource_url, r.registered_domain, r.rule) for r in rows] == [
             ("https://www.x.com/login", "https://www.x.com/app.js", "x.com", "github_token")]
@@ -197,16 +196,33 @@ def test_plans(spark, name):
         assert word not in plan, word
 
 
-def test_spread(spark, tmp_path):
-    few, many = spark.range(100).coalesce(1), spark.range(100).repartition(9)
-    assert spread(few, "id").rdd.getNumPartitions() == spark.sparkContext.defaultParallelism
-    assert spread(many, "id") is many
-
-
 def test_scans_read_only_what_they_use(spark):
     plan = queries.QUERIES["q36_fingerprint_counts"](spark, DATA)._jdf.queryExecution().executedPlan().toString()
-    assert "ReadSchema: struct<doc_id:bigint,text:string>" in plan
+    assert "ReadSchema: struct<text:string>" in plan
     rules = suffixes.builtin_rules(spark)
     pages = inputs.table(spark, DATA, "pages")
     hosts = scan.internal_url_scan(pages, rules, 10).select("url")
     assert hosts.where(F.col("url").isNull()).count() == 0
+
+
+def test_scope_does_not_depend_on_the_number_of_seeds(spark, mini_rules):
+    from secretsift.operators import extract, scope
+
+    link = max(extract.SELF, extract.IMPORT) + 1
+    rows = [("https://www.abc.com/x", link), ("https://abcd.abc.com/y", link), ("https://other.org/", link),
+            ("https://nowhere", link), ("https://far.net/", extract.SELF), ("https://far.net/i.js", extract.IMPORT)]
+    resources = spark.createDataFrame(rows, "resource_url string, part int")
+    seeds = spark.createDataFrame([("abc.com", "abc"), ("abcd.com", "abcd"), ("bc.com", "bc"), ("x", "y" * 300)],
+                                  "domain string, label string")
+    for each in (True, False):
+        few, many = (
+            sorted(map(repr, scope.in_scope(resources, seeds, mini_rules, inline=n, each_seed=each).select(
+                "resource_url", "part", *["seed"] * each).collect())) for n in (10, 0))
+        assert few == many and few
+
+
+def test_no_limit_keeps_everything(spark):
+    from secretsift.operators import prioritize
+
+    ranked = spark.range(500).selectExpr("CAST(id % 3 AS int) AS tier", "struct(id AS page_id, id AS tag_no) AS seq")
+    assert prioritize.select_first(ranked).count() == 500
