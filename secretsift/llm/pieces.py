@@ -35,9 +35,9 @@ from pyspark.sql.types import ArrayType, IntegerType, StructType
 SPACE = "▁"
 _LATIN = r"A-Za-zÀ-ÖØ-öø-ɏ"  # letters, as a character class
 # Entries remembered per worker, and the longest part that is.
-PARTS, PART_CHARS, PAIRS = 250_000, 40, 500_000
+PARTS, PART_CHARS, PAIRS = 100_000, 40, 200_000
 # Output rows are sent in batches of about this many pieces.
-BATCH_PIECES = 1 << 20
+BATCH_PIECES = 1 << 18
 
 
 @dataclass(frozen=True)
