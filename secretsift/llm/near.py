@@ -13,8 +13,11 @@ not yet connected with that smallest class meet the rest of the bucket, and only
 across components; the same holds for the bands after the first few. Links inside a
 component cannot change it. Shingles that no other
 class in these buckets has bound what two of them can share; pairs that stay
-below the threshold even so are never formed, which is exact and keeps a large group
-of texts that are almost near duplicates from being expanded.
+below the threshold even so are never formed. In the last step the bound counts only
+shingles that more than ``RARE`` of the classes left have: classes that share a rarer
+one meet by it, in a list of at most ``RARE``, and all others can share nothing else.
+Both are exact and keep a large group of texts that are almost near duplicates from
+being expanded. A pair that agrees in many bands is formed in the first of them only.
 
 Two texts at similarity 0.8 agree in none of the 42 bands of 6 samples with
 probability (1 - 0.8**6)**42 = 3e-6; their sketches differ in more than ``MOST_ODD``
@@ -47,6 +50,8 @@ BITS = 512
 MOST_ODD = 130
 # Bands whose buckets are linked first; the others only link what these have left apart.
 FIRST_BANDS = 10
+# Classes left for the last step that may have a shingle, at most, for it to be a meeting point of its own.
+RARE = 64
 
 _SAMPLES = 256
 _RNG = np.random.default_rng(11)
@@ -177,18 +182,46 @@ def _root_of(roots: DataFrame, side: str) -> DataFrame:
     return roots.select(F.col("node").alias(side), F.col("root").alias(f"root_{side}"))
 
 
-def _across(placed: DataFrame, percent: int) -> DataFrame:
-    """Pairs inside a bucket that may be links between components, one of them ``apart``."""
+def _divided(nodes: DataFrame, texts: DataFrame, shingle: int) -> tuple[DataFrame, DataFrame]:
+    """``node``, ``n`` and ``common`` (shingles that more than ``RARE`` of ``nodes`` have); ``member``, ``node`` of the rest."""
+    sets = _members(nodes, texts, shingle)
+    rows = sets.select("node", F.explode("members").alias("member"))
+    few = rows.groupBy("member").agg(F.count("*").alias("nodes")).where(F.col("nodes") <= RARE)
+    rare = stored(rows.join(few.hint("merge"), "member"))
+    uncommon = rare.groupBy("node").agg(F.count("*").alias("uncommon"))
+    sizes = sets.select("node", F.size("members").cast("long").alias("n")).join(uncommon, "node", "left")
+    sizes = stored(sizes.select("node", "n", (F.col("n") - F.coalesce("uncommon", F.lit(0))).alias("common")))
+    released(sets)
+    return sizes, rare.where("nodes > 1").select("member", "node")
+
+
+def _side(df: DataFrame, of: str) -> DataFrame:
+    return df.select(*[F.col(c).alias(f"{c}_{of}") for c in df.columns])
 
-    def side(of: str) -> list[Column]:
-        return [F.col(c).alias(f"{c}_{of}") for c in ("band", "node", "root", "apart", "sketch", "n", "shared")]
 
-    apart, other = placed.where("apart").select(*side("a")), placed.select(*side("b"))
-    most = F.least("shared_a", "shared_b")
+def _close_across() -> Column:
+    """Whether the sides ``a`` and ``b`` are in different components and have close sketches."""
+    return (F.col("root_a") != F.col("root_b")) & (_odd(F.col("sketch_a"), F.col("sketch_b")) <= MOST_ODD)
+
+
+def _across(placed: DataFrame, percent: int) -> DataFrame:
+    """Pairs inside a bucket that may be links between components by common shingles, one of them ``apart``."""
+    apart, other = _side(placed.where("apart"), "a"), _side(placed, "b")
+    most = F.least("common_a", "common_b")
     may = 100 * most >= percent * (F.col("n_a") + F.col("n_b") - most)
-    met = apart.join(other, (F.col("band_a") == F.col("band_b")) & (F.col("root_a") != F.col("root_b")) & may
-                     & (~F.col("apart_b") | (F.col("node_a") < F.col("node_b")))
-                     & (_odd(F.col("sketch_a"), F.col("sketch_b")) <= MOST_ODD))
+    same = F.zip_with("bands_a", "bands_b", lambda x, y: x == y)
+    met = apart.join(other, (F.col("band_a") == F.col("band_b")) & may
+                     & (~F.col("apart_b") | (F.col("node_a") < F.col("node_b"))) & _close_across()
+                     & (F.array_position(same, True) == F.col("slot_a") + 1))
+    return met.select(F.col("node_a").alias("a"), F.col("node_b").alias("b"))
+
+
+def _by_rare(held: DataFrame, percent: int) -> DataFrame:
+    """Pairs with a rare ``member`` in common that may be links between components."""
+    small, large = F.least("n_a", "n_b"), F.greatest("n_a", "n_b")
+    met = _side(held, "a").join(_side(held, "b"), (F.col("member_a") == F.col("member_b"))
+                                & (F.col("node_a") < F.col("node_b")) & (100 * small >= percent * large)
+                                & _close_across())
     return met.select(F.col("node_a").alias("a"), F.col("node_b").alias("b"))
 
 
@@ -241,15 +274,19 @@ def components_of(texts: DataFrame, shingle: int, percent: int) -> DataFrame:
         F.min("root").alias("low"), F.max("root").alias("high"), F.count("*").alias("size"),
         F.min_by("root", "node").alias("center_root"), F.min("node").alias("center"))
     mixed_ = mixed_.where("low <> high AND size > 2").select("band", "center", "center_root")
-    placed = placed.join(mixed_, "band").where("node <> center").select(
-        "band", "node", "root", "n", "shared", (F.col("root") != F.col("center_root")).alias("apart"))
-    apart = stored(placed.join(sketches, "node"))
-    met = _across(apart, percent)
+    placed = stored(placed.join(mixed_, "band").where("node <> center").select(
+        "band", "slot", "node", "root", (F.col("root") != F.col("center_root")).alias("apart")))
+    left = stored(placed.select("node", "root").distinct())
+    sizes, rare = _divided(left, texts, shingle)
+    able = sizes.where(100 * F.col("common") >= percent * F.col("n")).join(nodes, "node")
+    apart = stored(placed.join(able, "node"))
+    held = stored(rare.join(left.join(sizes.select("node", "n"), "node").join(sketches, "node"), "node"))
+    met = _across(apart, percent).unionByName(_by_rare(held, percent))
     rest = met.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
     more = _confirmed(rest, texts, shingle, percent)
     if more.limit(1).count():
         roots = stored(components(links.unionByName(more)))
-    released(nodes, banded, star, apart, bounds)
+    released(nodes, banded, star, placed, left, sizes, apart, held, bounds)
 
     members = signed.select("row_id", "id", "n_shingles", "mark").join(classes.withColumnRenamed("mark", "of"),
                                                                      F.col("mark") == F.col("of"), "left")

@@ -118,6 +118,26 @@ def test_near(docs, corpus, words, shingle):
     assert kept.columns == docs(corpus).columns and kept.count() == len(set(root))
 
 
+def test_near_in_a_group_of_almost_near_copies(docs, words, monkeypatch):
+    monkeypatch.setattr(near, "RARE", 4)
+    rng = random.Random(5)
+    base = [f"b{i}" for i in range(60)]
+    rows = []
+    for i in range(90):
+        text = list(base)
+        for at in rng.sample(range(60), rng.randrange(1, 9)):
+            text[at] = f"m{rng.randrange(12)}"
+        rows.append((i, " ".join(text), "a"))
+    sets = [set(zip(w, w[1:])) for w in (words(t) for _, t, _ in rows)]
+    root = list(range(len(rows)))
+    for _ in rows:
+        for a, b in itertools.combinations(range(len(rows)), 2):
+            if 100 * len(sets[a] & sets[b]) >= 80 * len(sets[a] | sets[b]):
+                root[a] = root[b] = min(root[a], root[b])
+    got = near.near_duplicates(docs(rows), shingle=2).select("id", "component_id").collect()
+    assert {r.id: r.component_id for r in got} == dict(enumerate(root)) and len(set(root)) > 5
+
+
 def test_components(spark):
     chain = [(i, i + 1) for i in range(0, 40)] + [(100, 140), (140, 120), (7, 7)]
     got = {r.node: r.root for r in components(spark.createDataFrame(chain, "a long, b long")).collect()}
