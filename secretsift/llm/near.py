@@ -183,14 +183,20 @@ def _root_of(roots: DataFrame, side: str) -> DataFrame:
 
 
 def _divided(nodes: DataFrame, texts: DataFrame, shingle: int) -> tuple[DataFrame, DataFrame]:
-    """``node``, ``n`` and ``common`` (shingles that more than ``RARE`` of ``nodes`` have); ``member``, ``node`` of the rest."""
+    """Sizes and meeting points of ``nodes``.
+
+    ``node``, ``n``, ``common`` (shingles that more than ``RARE`` of the nodes have) and
+    ``rare`` (that others have, but fewer); then ``member`` and ``node`` of the rare ones.
+    """
     sets = _members(nodes, texts, shingle)
     rows = sets.select("node", F.explode("members").alias("member"))
     few = rows.groupBy("member").agg(F.count("*").alias("nodes")).where(F.col("nodes") <= RARE)
     rare = stored(rows.join(few.hint("merge"), "member"))
-    uncommon = rare.groupBy("node").agg(F.count("*").alias("uncommon"))
+    uncommon = rare.groupBy("node").agg(
+        F.count("*").alias("uncommon"), F.count_if(F.col("nodes") > 1).alias("rare"))
     sizes = sets.select("node", F.size("members").cast("long").alias("n")).join(uncommon, "node", "left")
-    sizes = stored(sizes.select("node", "n", (F.col("n") - F.coalesce("uncommon", F.lit(0))).alias("common")))
+    sizes = stored(sizes.select("node", "n", (F.col("n") - F.coalesce("uncommon", F.lit(0))).alias("common"),
+                                F.coalesce("rare", F.lit(0)).alias("rare")))
     released(sets)
     return sizes, rare.where("nodes > 1").select("member", "node")
 
@@ -218,9 +224,10 @@ def _across(placed: DataFrame, percent: int) -> DataFrame:
 
 def _by_rare(held: DataFrame, percent: int) -> DataFrame:
     """Pairs with a rare ``member`` in common that may be links between components."""
-    small, large = F.least("n_a", "n_b"), F.greatest("n_a", "n_b")
+    most = F.least("common_a", "common_b") + F.least("rare_a", "rare_b")
+    may = 100 * most >= percent * (F.col("n_a") + F.col("n_b") - most)
     met = _side(held, "a").join(_side(held, "b"), (F.col("member_a") == F.col("member_b"))
-                                & (F.col("node_a") < F.col("node_b")) & (100 * small >= percent * large)
+                                & (F.col("node_a") < F.col("node_b")) & may
                                 & _close_across())
     return met.select(F.col("node_a").alias("a"), F.col("node_b").alias("b"))
 
@@ -280,7 +287,7 @@ def components_of(texts: DataFrame, shingle: int, percent: int) -> DataFrame:
     sizes, rare = _divided(left, texts, shingle)
     able = sizes.where(100 * F.col("common") >= percent * F.col("n")).join(nodes, "node")
     apart = stored(placed.join(able, "node"))
-    held = stored(rare.join(left.join(sizes.select("node", "n"), "node").join(sketches, "node"), "node"))
+    held = stored(rare.join(left.join(sizes, "node").join(sketches, "node"), "node"))
     met = _across(apart, percent).unionByName(_by_rare(held, percent))
     rest = met.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
     more = _confirmed(rest, texts, shingle, percent)
