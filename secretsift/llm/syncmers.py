@@ -1,54 +1,59 @@
 """Document fingerprints from closed syncmers, in Spark SQL functions only.
 
-A text is a sequence of symbols: its words, or its characters where it is short.
-Of its runs of ``K`` words (``K_SHORT`` characters) those are anchors whose least inner
-run of ``S`` symbols is the first or the last of them. Whether a run is an anchor depends on
-nothing outside it, so an edit changes only the anchors that touch it, and equal
-passages carry equal anchors at equal distances. A repeated anchor is told from its
-earlier occurrences by their number. The fingerprint lists the hashes of the anchors
-in text order; likeness is the share of anchors that two texts have in common.
-
-Defined results: a null text counts as empty; texts with fewer symbols than a run
-have their symbols as anchors, or the whole text where it is not a short one, and
-the empty text has none; two texts without anchors have likeness 1. Equal texts
-have equal fingerprints. In the order of documents null ids come first, rows of
-one id are ordered by the hash of their text, and a single document is its own
+A text is a sequence of symbols, its code points, between end marks. Of its runs of
+``K`` symbols those are anchors whose least inner run of ``S`` symbols is the first or
+the last of them. Whether a run is an anchor depends on nothing outside it, and texts
+of every length and script are read alike, so an edit changes only the anchors that
+touch it, and equal passages carry equal anchors at equal distances. A repeated anchor
+is told from its earlier occurrences by their number. The fingerprint lists the hashes
+of the anchors in text order; likeness is the share of anchors that two texts have in
+common.
+
+Defined results: a null text counts as empty; ``K - 1`` end marks on either side give
+texts with fewer symbols than a run anchors too, and the empty text has none; two
+texts without anchors have likeness 1. Equal texts have equal fingerprints. In the
+order of documents null ids come first, rows of one id are ordered by the hash of
+their text, and a single document is its own
 successor. An empty table gives an empty result.
 """
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from secretsift.functions.text import let
 from secretsift.llm.common import id_cuts, range_of, whole
 
-K, K_SHORT, S = 5, 4, 2
-# Texts of fewer characters are read by character, others by word; a run without
-# white space is cut into words of at most this many characters.
-SHORT, LONGEST_WORD = 200, 32
+K, S = 12, 4
+# A symbol takes four bytes; the end mark is no code point.
+WIDTH, END = 4, b"\xff" * 4
 
 
 def symbols(text: Column) -> Column:
-    """Hashes of a text's symbols."""
-    words = F.regexp_extract_all(text, F.lit(r"[^\x20\x09-\x0D]{1,%d}" % LONGEST_WORD), F.lit(0))
-    characters = F.regexp_extract_all(text, F.lit(r"(?s)."), F.lit(0))
-    return F.transform(F.when(F.length(text) < SHORT, characters).otherwise(words), lambda s: F.hash(s))
+    """A text's code points between end marks, ``WIDTH`` bytes each."""
+    ends = F.lit(END * (K - 1))
+    return F.when(F.length(text) > 0, F.concat(ends, F.encode(text, "UTF-32"), ends)).otherwise(F.lit(b""))
 
 
-def _starts(length: int) -> Column:
-    """Places of the anchors of ``length`` symbols, from columns ``_symbols`` and ``_inner``."""
+def _run(marked: Column, at: Column, length: int) -> Column:
+    return F.hash(F.substring(marked, at * WIDTH + 1, F.lit(length * WIDTH)))
 
-    def closed(at: Column) -> Column:
-        runs = [F.get(F.col("_inner"), at + k) for k in range(length - S + 1)]
-        return (F.least(*runs) == runs[0]) | (F.least(*runs) == runs[-1])
 
-    found = F.filter(F.sequence(F.lit(0), F.size("_symbols") - length), closed)
-    return F.transform(found, lambda at: _run(at, length))
+def _inner(marked: Column) -> Column:
+    """Hashes of all runs of ``S`` symbols."""
+    return F.transform(F.sequence(F.lit(0), (F.length(marked) / WIDTH).cast("int") - S), lambda at: _run(marked, at, S))
+
 
+def _starts(inner: Column) -> Column:
+    """Places of the anchors, from the hashes of the inner runs."""
+
+    def closed(at: Column) -> Column:
+        runs = [F.get(inner, at + k) for k in range(K - S + 1)]
+        return F.least(*runs) == F.least(runs[0], runs[-1])
 
-def _run(at: Column, length: int) -> Column:
-    return F.hash(*[F.get(F.col("_symbols"), at + k) for k in range(length)])
+    return F.filter(F.sequence(F.lit(0), F.size(inner) - (K - S + 1)), closed)
 
 
 def _numbered(found: Column) -> Column:
@@ -57,12 +62,13 @@ def _numbered(found: Column) -> Column:
     def by_runs(ranked: Column) -> Column:
         heads = F.filter(F.sequence(F.lit(0), F.size(ranked) - 1), lambda i: ~F.coalesce(
             F.get(ranked, i)["hash"] == F.get(ranked, i - 1)["hash"], F.lit(False)))
+        # A slice would copy the whole array for every run.
         return let(heads, lambda starts: F.flatten(F.transform(starts, lambda start, k: F.transform(
-            F.slice(ranked, start + 1, F.coalesce(F.get(starts, k + 1), F.size(ranked)) - start),
-            lambda e, n: F.struct(e["at"].alias("at"), F.when(n == 0, e["hash"]).otherwise(
-                F.hash(e["hash"], n)).alias("hash"))))))
+            F.sequence(start, F.coalesce(F.get(starts, k + 1), F.size(ranked)) - 1),
+            lambda i: let(F.get(ranked, i), lambda e: F.struct(e["at"].alias("at"), F.when(i == start, e["hash"]).otherwise(
+                F.hash(e["hash"], i - start)).alias("hash")))))))
 
-    placed = F.array_sort(F.transform(found, lambda h, i: F.struct(h.alias("hash"), i.alias("at"))))
+    placed = F.sort_array(F.transform(found, lambda h, i: F.struct(h.alias("hash"), i.alias("at"))))
     again = F.transform(F.sort_array(let(placed, by_runs)), lambda e: e["hash"])
     return F.when(F.size(F.array_distinct(found)) == F.size(found), found).otherwise(again)
 
@@ -73,14 +79,12 @@ def with_anchors(df: DataFrame, text: str, into: str) -> DataFrame:
     The steps are separate projections: each reads the one before it many times,
     so they are computed once and not folded into each other.
     """
-    body, n = F.col(text), F.size("_symbols")
-    short = F.length(body) < SHORT
-    step = df.withColumn("_symbols", symbols(body))
-    inner = F.when(n >= S, F.transform(F.sequence(F.lit(0), n - S), lambda i: _run(i, S)))
-    step = step.withColumn("_inner", inner)
-    found = F.when(short & (n >= K_SHORT), _starts(K_SHORT)).when(short, F.col("_symbols")).when(
-        n >= K, _starts(K)).otherwise(F.array(F.hash(body)))
-    step = step.withColumn("_found", found).drop("_symbols", "_inner")
+    step = df.withColumn("_symbols", symbols(F.col(text)))
+    some, none = F.length("_symbols") > 0, F.array().cast("array<int>")
+    # A lambda's argument is not copied out of the row at each use, as a column is.
+    found = let(F.col("_symbols"), lambda marked: F.transform(
+        let(_inner(marked), _starts), lambda at: _run(marked, at, K)))
+    step = step.withColumn("_found", F.when(some, found).otherwise(none)).drop("_symbols")
     return step.withColumn(into, _numbered(F.col("_found"))).drop("_found")
 
 
@@ -96,12 +100,13 @@ def likeness(a: Column, b: Column) -> Column:
     return F.when(union == 0, 1.0).otherwise(common / union)
 
 
-def with_next(df: DataFrame, key: str, columns: list[str], parts: int, tie: Column) -> DataFrame:
+def with_next(df: DataFrame, key: str, columns: list[str], parts: int, tie: Column,
+              derive: Callable[[DataFrame], DataFrame] = lambda dealt: dealt) -> DataFrame:
     """Add struct ``next`` with ``columns`` of the following row by ``key``; the last is followed by the first.
 
     Rows are dealt into ranges of ``key``. The first row of every range is also
     sent to the range before it, so each range finds all successors alone and
-    the rows are moved once.
+    the rows are moved once. ``derive`` adds columns to the rows after they are moved.
     """
     cuts = id_cuts(df.select(key), key, parts)
     value = F.col(key)
@@ -113,13 +118,15 @@ def with_next(df: DataFrame, key: str, columns: list[str], parts: int, tie: Colu
         value == F.get(F.array(*[F.lit(c).cast("long") for c in cuts]), F.col("_range") - 1)
         if cuts else F.lit(False))
     before = F.when(F.col("_range") == lowest, highest).otherwise(F.col("_range") - 1)
-    own = F.struct(F.col("_range").alias("to"), F.lit(0).alias("guest"))
-    guest = F.struct(before.alias("to"), F.lit(1).alias("guest"))
+    own = F.struct(F.col("_range").alias("_to"), F.lit(0).alias("_guest"))
+    guest = F.struct(before.alias("_to"), F.lit(1).alias("_guest"))
     sent = ranged.withColumn("_sent", F.explode(F.when(opens, F.array(own, guest)).otherwise(F.array(own))))
-    order = Window.partitionBy("_sent.to").orderBy("_sent.guest", value.asc_nulls_first(), "_tie")
+    # Rows stay spread over tasks, as what is derived may cost much more than they are large.
+    sent = derive(sent.select("*", "_sent.*").drop("_sent").repartition(max(1, parts // 4), "_to"))
+    order = Window.partitionBy("_to").orderBy("_guest", value.asc_nulls_first(), "_tie")
     # Where one range is all there is, its last row is followed by its first.
     follow = F.lead(F.struct(*columns)).over(order)
-    return sent.withColumn("next", follow).where("_sent.guest = 0").drop("_range", "_tie", "_sent")
+    return sent.withColumn("next", follow).where("_guest = 0").drop("_range", "_tie", "_to", "_guest")
 
 
 def edited_neighbours(df: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
@@ -129,8 +136,9 @@ def edited_neighbours(df: DataFrame, key: str = "doc_id", text: str = "text") ->
     the next document.
     """
     parts = 4 * int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    base = with_anchors(df.select(key, whole(F.col(text)).alias("body")), "body", "found")
-    followed = with_next(base, key, ["body", "found"], parts, F.xxhash64("body"))
+    base = df.select(key, whole(F.col(text)).alias("body"))
+    followed = with_next(base, key, ["body", "found"], parts, F.xxhash64("body"),
+                         lambda dealt: with_anchors(dealt, "body", "found"))
     n = F.length("body")
     quarter = F.floor(n / 4).cast("int")
     edited = F.concat(F.substring(F.col("body"), F.lit(1), n - quarter),
