@@ -7,10 +7,10 @@ source takes the block that a pseudorandom permutation of its block indexes puts
 at n. A second pass over a source uses another permutation. Slots and blocks meet
 in a join by index.
 
-The shards' draws are multinomial given what the earlier shards have left of each
-source's slots, so every shard is a random mix and the totals meet the targets.
-Only one row per source is brought to the driver (``max_sources`` at most, else an
-error), and block contents never are.
+A pseudorandom permutation of all slots deals them to the shards in equal parts. So
+every shard is a random mix, its counts by source are multinomial draws given the
+totals, and the totals meet the targets. The plan of the sources stays in a table:
+the driver sees sums over ranges of sources, and neither sources nor shards.
 
 Defined results: null texts have no words; null is a source of its own, sorted
 last; sources without words have target 0; repeated rows are documents of their
@@ -24,7 +24,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame, SparkSession, Window, functions as F
+from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from pyspark.sql.types import LongType
 
@@ -35,7 +35,8 @@ SHARE, MOST = 1.5, 2.0
 BLOCK = 64
 SHARD_SLOTS = 4096
 MOST_SHARDS = 4096
-MAX_SOURCES = 100_000
+# More sources than this are joined by shuffles.
+BROADCAST_SOURCES, SALTS = 100_000, 16
 SEED = 20
 
 
@@ -44,7 +45,7 @@ class Mix:
     """Stored documents, the plan of each source, and the words each slot takes."""
 
     docs: DataFrame  # row_id, row, id, source, size
-    sources: DataFrame  # source, source_size, target
+    sources: DataFrame  # place, source, source_size, target, blocks, slots, first_slot
     taken: DataFrame  # row_id, epoch, shard, slot, first, last: words [first, last) of a document
 
 
@@ -65,31 +66,6 @@ def targets(sizes: list[int], weights: tuple[int, ...] = WEIGHTS, share: float =
     return list(wanted)
 
 
-def draws(slots: list[int], seed: int = SEED) -> list[tuple[int, int, int, int]]:
-    """(source, shard, first, count): the slots of each source that fall to each shard."""
-    left = np.array(slots, dtype=np.int64)
-    shards = int(min(MOST_SHARDS, max(1, -(-int(left.sum()) // SHARD_SLOTS))))
-    rng = np.random.default_rng(seed)
-    used, out = np.zeros_like(left), []
-    for shard in range(shards):
-        rest, total = shards - shard, int(left.sum())
-        take = total if rest == 1 else total // rest
-        count = _multinomial_left(rng, left, take)
-        out += [(i, shard, int(used[i]), int(n)) for i, n in enumerate(count) if n]
-        used, left = used + count, left - count
-    return out
-
-
-def _multinomial_left(rng: np.random.Generator, left: np.ndarray, take: int) -> np.ndarray:
-    """A multinomial draw by what is left; what a source lacks is drawn from the others."""
-    count = np.zeros_like(left)
-    while take:
-        open_ = left - count
-        drawn = np.minimum(rng.multinomial(take, open_ / open_.sum()), open_)
-        count, take = count + drawn, take - int(drawn.sum())
-    return count
-
-
 def permuted(at: np.ndarray, size: np.ndarray, key: np.ndarray) -> np.ndarray:
     """Place of index ``at`` in a permutation of ``size`` indexes chosen by ``key``.
 
@@ -126,34 +102,84 @@ def _block_at(at: pd.Series, size: pd.Series, key: pd.Series) -> pd.Series:
 
 def mix(df: DataFrame, key: str = "doc_id", text: str = "text", source: str = "source",
         weights: tuple[int, ...] = WEIGHTS, share: float = SHARE, block: int = BLOCK,
-        seed: int = SEED, keep_text: bool = True, max_sources: int = MAX_SOURCES) -> Mix:
+        seed: int = SEED, keep_text: bool = True) -> Mix:
     """Plan a mix of ``df``: which words of which document every slot takes."""
-    spark = df.sparkSession
     row = F.struct("*") if keep_text else F.struct("*").dropFields(text)
     docs = stored(df.select(
         F.monotonically_increasing_id().alias("row_id"), row.alias("row"), F.col(key).alias("id"),
         F.col(source).alias("source"), F.xxhash64(text).alias("tie"),
         F.regexp_count(whole(F.col(text)), F.lit(WORD)).cast("long").alias("size")))
-    streams, total = _positions(docs), docs.groupBy("source").agg(F.sum("size").alias("size"))
-    plan = total.limit(max_sources + 1).collect()
-    if len(plan) > max_sources:
-        raise ValueError(f"more than {max_sources} sources; raise max_sources or mix by coarser sources")
-    # Code points and UTF-8 bytes sort alike; null last.
-    plan = sorted(plan, key=lambda r: (r.source is None, (r.source or "").encode()))
-    sizes = [r["size"] for r in plan]
-    wanted = targets(sizes, weights, share)
-    blocks = [-(-n // block) for n in sizes]
-    slots = [round(w / n * b) if n else 0 for w, n, b in zip(wanted, sizes, blocks)]
-    schema = "place int, source string, source_size long, target double, blocks long"
-    sources = spark.createDataFrame(
-        [(i, r.source, r["size"], float(w), b) for i, (r, w, b) in enumerate(zip(plan, wanted, blocks))], schema)
-    drawn = spark.createDataFrame(
-        [(i, shard, first, count, blocks[i]) for i, shard, first, count in draws(slots, seed)],
-        "place int, shard int, first long, count long, blocks long")
-    taken = _slots(drawn, seed).join(_fragments(streams, sources, block), ["place", "block"])
+    sources = _planned(docs, weights, share, block)
+    taken = _slots(sources, seed).join(_fragments(_positions(docs), sources, block), ["place", "block"])
     return Mix(docs, sources, taken.select("row_id", "epoch", "shard", "slot", "first", "last"))
 
 
+def _planned(docs: DataFrame, weights: tuple[int, ...], share: float, block: int, most: float = MOST) -> DataFrame:
+    """The plan of each source: its place in order, target, blocks, slots and the slots before its own.
+
+    Targets are as in ``targets``: rounds of sums find the sources that reach ``most``.
+    """
+    # Code points and UTF-8 bytes sort alike; null last.
+    order = F.col("source").asc_nulls_last()
+    sizes = docs.groupBy("source").agg(F.sum("size").alias("size")).repartitionByRange(order)
+    at = F.monotonically_increasing_id()
+    ranged = stored(sizes.sortWithinPartitions(order).select(
+        "source", "size", F.shiftright(at, 33).alias("range"), at.bitwiseAND((1 << 33) - 1).alias("at")))
+    counts = ranged.groupBy("range").agg(F.count("*").alias("n")).collect()
+    placed = ranged.withColumn("place", _before(counts) + F.col("at"))
+    weight = F.get(F.array(*[F.lit(w) for w in weights]), (F.col("place") % len(weights)).cast("int"))
+    placed = placed.withColumn("weight", weight)
+    size, weight = F.col("size"), F.col("weight")
+    filled = placed.where(size > 0)
+
+    def sums(of: DataFrame) -> tuple[int, int]:
+        row = of.agg(F.coalesce(F.sum("size"), F.lit(0)), F.coalesce(F.sum("weight"), F.lit(0))).first()
+        return int(row[0]), int(row[1])
+
+    (words, all_), full = sums(filled), (0, 0)
+    left, open_ = share * words, all_
+    while open_:
+        now = sums(filled.where(F.lit(left) * weight / F.lit(float(open_)) > F.lit(float(most)) * size))
+        if now == full:
+            break
+        full, left, open_ = now, share * words - most * now[0], all_ - now[1]
+    given = F.lit(left) * weight / F.lit(float(open_)) if open_ else F.lit(float("inf"))
+    target = F.when(size > 0, F.least(given, F.lit(float(most)) * size)).otherwise(0.0)
+    plan = placed.withColumn("target", target).withColumn("blocks", F.ceil(size / block).cast("long"))
+    plan = plan.withColumn("slots", F.when(size > 0, F.rint(F.col("target") / size * F.col("blocks"))).otherwise(0).cast("long"))
+    counts = plan.groupBy("range").agg(F.sum("slots").alias("n")).collect()
+    inside = Window.partitionBy("range").orderBy("at").rowsBetween(Window.unboundedPreceding, -1)
+    first = _before(counts) + F.coalesce(F.sum("slots").over(inside), F.lit(0))
+    return stored(plan.withColumn("first_slot", first).select(
+        "place", "source", F.col("size").alias("source_size"), "target", "blocks", "slots", "first_slot"))
+
+
+def _before(counts: list) -> Column:
+    """Sum of ``n`` over the ranges below a row's ``range``."""
+    starts, total = [], 0
+    for r in sorted(counts, key=lambda r: r.range):
+        starts.append(F.struct(F.lit(r.range).cast("long").alias("range"), F.lit(total).cast("long").alias("n")))
+        total += r.n
+    if not starts:
+        return F.lit(0).cast("long")
+    return F.get(F.filter(F.array(*starts), lambda s: s["range"] == F.col("range")), F.lit(0))["n"]
+
+
+def with_plan(df: DataFrame, sources: DataFrame, *columns: str) -> DataFrame:
+    """Add ``columns`` of the plan to rows with a ``source``.
+
+    Of a plan too large to broadcast every source has a copy per salt, so the rows of
+    one source are spread over tasks.
+    """
+    plan = sources.select(F.col("source").alias("_of"), *columns)
+    match = F.col("source").eqNullSafe(F.col("_of"))
+    if sources.limit(BROADCAST_SOURCES + 1).count() <= BROADCAST_SOURCES:
+        return df.join(F.broadcast(plan), match).drop("_of")
+    salted = df.withColumn("_salt", F.pmod(F.monotonically_increasing_id(), F.lit(SALTS)).cast("int"))
+    copies = plan.withColumn("_copy", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+    return salted.join(copies, match & (F.col("_salt") == F.col("_copy"))).drop("_of", "_salt", "_copy")
+
+
 def _positions(docs: DataFrame) -> DataFrame:
     """``start`` of each document in its source's stream.
 
@@ -176,8 +202,7 @@ def _positions(docs: DataFrame) -> DataFrame:
 
 def _fragments(streams: DataFrame, sources: DataFrame, block: int) -> DataFrame:
     """The piece of each block that each document holds."""
-    place = sources.select("place", F.col("source").alias("of"))
-    held = streams.where("size > 0").join(F.broadcast(place), streams.source.eqNullSafe(place.of))
+    held = with_plan(streams.where("size > 0"), sources, "place")
     end = F.col("start") + F.col("size")
     numbers = F.sequence(F.floor(F.col("start") / block), F.floor((end - 1) / block))
     pieces = held.select("place", "row_id", "start", "size", F.explode(numbers).alias("block"))
@@ -186,14 +211,19 @@ def _fragments(streams: DataFrame, sources: DataFrame, block: int) -> DataFrame:
     return pieces.select("place", "block", "row_id", first.alias("first"), last.alias("last"))
 
 
-def _slots(drawn: DataFrame, seed: int) -> DataFrame:
-    """Every slot with the block it takes."""
-    parts = int(drawn.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    rows = drawn.withColumnRenamed("first", "from").repartition(parts)
-    at = rows.select("place", "shard", "blocks", F.explode(
-        F.sequence(F.col("from"), F.col("from") + F.col("count") - 1)).alias("slot"))
+def _slots(sources: DataFrame, seed: int) -> DataFrame:
+    """Every slot with its shard and the block it takes."""
+    parts = int(sources.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    total = int(sources.agg(F.sum("slots")).first()[0] or 0)
+    shards = min(MOST_SHARDS, max(1, -(-total // SHARD_SLOTS)))
+    runs = sources.where("slots > 0").select("place", "blocks", "slots", "first_slot", F.explode(
+        F.sequence(F.lit(0).cast("long"), F.col("slots") - 1, F.lit(SHARD_SLOTS).cast("long"))).alias("from"))
+    at = runs.repartition(parts).select("place", "blocks", "first_slot", F.explode(F.sequence(
+        F.col("from"), F.least(F.col("from") + SHARD_SLOTS, F.col("slots")) - 1)).alias("slot"))
+    dealt = _block_at(F.col("first_slot") + F.col("slot"), F.lit(total).cast("long"), F.xxhash64(F.lit(seed)))
+    shard = F.floor(dealt * shards / F.lit(max(1, total))).cast("int")
     epoch = F.floor(F.col("slot") / F.col("blocks"))
-    at = at.select("place", "shard", "slot", "blocks", epoch.alias("epoch"))
+    at = at.select("place", "slot", "blocks", shard.alias("shard"), epoch.alias("epoch"))
     block = _block_at(F.col("slot") % F.col("blocks"), F.col("blocks"),
                       F.xxhash64(F.lit(seed), F.col("place"), F.col("epoch")))
     return at.select("place", "shard", "slot", "epoch", block.alias("block"))
