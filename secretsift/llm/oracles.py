@@ -94,9 +94,28 @@ SELECT w.doc_id, len(ws)::BIGINT AS n_words, (len(ws) - coalesce(k.n, 0))::BIGIN
 FROM words w LEFT JOIN kept k USING (doc_id)"""
 
 
+# The given pages have their main text in one article element; its markup is of a few kinds.
+OP11 = r"""WITH bodies AS (
+  SELECT row_number() OVER () AS n, page_id, url,
+    regexp_extract(coalesce(html, ''), '(?s)<article>(.*?)(?:</article>|$)', 1) AS body FROM pages),
+split AS (
+  SELECT n, page_id, url, string_split(regexp_replace(
+    regexp_replace(body, '</?(?:p|h1)>', chr(10), 'g'), '<[^>]*>', ' ', 'g'), chr(10)) AS lines FROM bodies),
+numbered AS (SELECT n, page_id, url, generate_subscripts(lines, 1) AS place, unnest(lines) AS line FROM split),
+decoded AS (
+  SELECT n, page_id, url, place, trim(regexp_replace(regexp_replace(replace(replace(replace(replace(replace(line,
+    '&quot;', '"'), '&lt;', '<'), '&gt;', '>'), '&#x27;', chr(39)), '&#39;', chr(39)), '&amp;?', '&', 'g'), '\s+', ' ', 'g')) AS line
+  FROM numbered),
+texts AS (
+  SELECT n, page_id, url, coalesce(string_agg(line, chr(10) ORDER BY place) FILTER (line <> ''), '') AS text
+  FROM decoded GROUP BY n, page_id, url)
+SELECT page_id, url, text, length(text)::BIGINT AS n_chars FROM texts"""
+
+
 ORACLES: dict[str, str] = {
     "op1_host_quality": OP1,
     "op3_substring_dedup": OP3,
     "op9_line_dedup": OP9,
     "op10_warc": OP10,
+    "op11_main_text": OP11,
 }

@@ -7,17 +7,18 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
-from secretsift.llm import language, lines, mixing, near, pieces, quality, spans, syncmers, toxicity, warc
+from secretsift.llm import (
+    alignment, language, lines, mixing, near, pieces, quality, spans, syncmers, templates, toxicity, warc, whitening)
 from secretsift.llm.common import table
 from secretsift.llm.oracles import ORACLES
 
 __all__ = ["ORACLES", "QUERIES"]
 
-TOKENIZER = "piece_bpe_32k.model"
+TOKENIZER, BYTE_TOKENIZER = "piece_bpe_32k.model", "byte_bpe_50k.json"
 
 
-def tokenizer_path() -> str:
-    return public_tokenizers.path(TOKENIZER)
+def tokenizer_path(name: str = TOKENIZER) -> str:
+    return public_tokenizers.path(name)
 
 
 def digest(text: Column) -> Column:
@@ -114,6 +115,26 @@ def op10(spark: SparkSession, folder: str) -> DataFrame:
         "record_type", warc.page_id(F.col("refers_to")).alias("refers_to"))
 
 
+def op11(spark: SparkSession, folder: str) -> DataFrame:
+    """Main text of every page."""
+    out = templates.main_texts(table(spark, folder, "pages").select("page_id", "url", "html"), keep_html=False)
+    return out.select("row.page_id", "row.url", "text", F.length("text").cast("long").alias("n_chars"))
+
+
+def op12(spark: SparkSession, folder: str) -> DataFrame:
+    """Groups and links of two tokenizers' tokens in every document."""
+    out = alignment.align_texts(documents(spark, folder), tokenizer_path(BYTE_TOKENIZER), tokenizer_path(),
+                                keep_groups=False, keep_text=False)
+    return out.select("row.doc_id", "n_a", "n_b", "n_groups", "n_links", "n_best", "count_sum",
+                      F.col("groups").alias("groups_sha256"))
+
+
+def op13(spark: SparkSession, folder: str) -> DataFrame:
+    """Whitened components of every usable embedding."""
+    vectors = table(spark, folder, "embeddings").select("vec_id", "embedding")
+    return whitening.by_component(whitening.whiten(vectors)).withColumnRenamed("id", "vec_id")
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_host_quality": op1,
     "op2_source_mix": op2,
@@ -125,4 +146,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_fingerprints": op8,
     "op9_line_dedup": op9,
     "op10_warc": op10,
+    "op11_main_text": op11,
+    "op12_token_alignment": op12,
+    "op13_whitening": op13,
 }
