@@ -92,10 +92,10 @@ def op8(spark: SparkSession, folder: str) -> DataFrame:
     out = syncmers.edited_neighbours(documents(spark, folder))
     return out.select(
         "doc_id", "n_chars", digest(F.col("edited")).alias("edited_sha256"),
-        syncmers.fingerprint(F.col("found")).alias("fingerprint"),
-        syncmers.fingerprint(F.col("edited_found")).alias("edited_fingerprint"),
-        syncmers.likeness(F.col("found"), F.col("edited_found")).alias("near_edited"),
-        syncmers.likeness(F.col("found"), F.col("next_found")).alias("near_next"))
+        syncmers.fingerprint(F.col("pairs")).alias("fingerprint"),
+        syncmers.fingerprint(F.col("edited_pairs")).alias("edited_fingerprint"),
+        syncmers.likeness(F.col("bag"), F.col("edited_bag")).alias("near_edited"),
+        syncmers.likeness(F.col("bag"), F.col("next_bag")).alias("near_next"))
 
 
 def op9(spark: SparkSession, folder: str) -> DataFrame:

@@ -153,8 +153,8 @@ def test_numbered_keeps_order(docs, odd_rows):
 def test_fingerprints(docs, corpus):
     rows = sorted({(i, t or "") for i, t, _ in corpus})
     out = syncmers.edited_neighbours(docs([(i, t, "a") for i, t in rows])).select(
-        "doc_id", "n_chars", "edited", syncmers.fingerprint(F.col("found")).alias("f"),
-        syncmers.likeness(F.col("found"), F.col("edited_found")).alias("near")).collect()
+        "doc_id", "n_chars", "edited", syncmers.fingerprint(F.col("pairs")).alias("f"),
+        syncmers.likeness(F.col("bag"), F.col("edited_bag")).alias("near")).collect()
     after = {i: rows[(k + 1) % len(rows)][1] for k, (i, _) in enumerate(rows)}
     texts = dict(rows)
     for r in out:
