@@ -30,7 +30,7 @@ import re
 from collections.abc import Iterator
 from dataclasses import dataclass
 from functools import cache
-from itertools import chain
+from itertools import chain, repeat
 
 import numpy as np
 import pyarrow as pa
@@ -44,10 +44,13 @@ from secretsift.llm.common import stored, whole
 # Characters of a chunk; its arrays are some times as large.
 CHUNK_CHARS = 1 << 22
 # Parts remembered per worker, and the longest part that is.
-PARTS, PART_CHARS = 150_000, 24
+PARTS, PART_CHARS = 400_000, 24
 # Parts aligned at once, pairs per stored row.
-BATCH_PARTS, ROW_PAIRS = 20_000, 1 << 15
+BATCH_PARTS, ROW_PAIRS = 8_000, 1 << 15
+# Parts that the libraries read in one text, as each text has a cost of its own.
+LINE_PARTS = 200
 
+_MISSING = object()
 _CUT = re.compile(r"(?<=\S)(?= )")
 _LOOSE = re.compile(r"\s ")
 
@@ -134,27 +137,41 @@ def _refined(starts: np.ndarray, ends: np.ndarray, decoded: np.ndarray, last: np
     return np.where(clear, ends, decoded)
 
 
+def _lines(parts: list[str]) -> list[str]:
+    """Parts joined to longer texts, each with its space; one that ends with white space ends a text."""
+    out, line = [], []
+    for p in parts:
+        line.append(p)
+        if len(line) == LINE_PARTS or p[-1:].isspace():
+            out.append(" " + " ".join(line))
+            line = []
+    if line:
+        out.append(" " + " ".join(line))
+    return out
+
+
 def align(parts: list[str], tools: Tools) -> list[tuple | None]:
-    """Per part: numbers of A and B tokens, groups as text, linked id pairs; None where bytes differ."""
-    spaced = [" " + p for p in parts]
-    a = tools.a.encode_batch(spaced, add_special_tokens=False)
+    """Per part: numbers of A and B tokens, groups as text, linked id pairs as bytes of int64; None where bytes differ."""
+    lines = _lines(parts)
+    a = tools.a.encode_batch(lines, add_special_tokens=False)
     b = [[(t.id, t.begin, t.end) for t in x.pieces]
-         for x in tools.b.encode(parts, return_type="proto", num_threads=1)]
+         for x in tools.b.encode([x[1:] for x in lines], return_type="proto", num_threads=1)]
     a_ids = list(chain.from_iterable(x.ids for x in a))
-    a_count, b_count = np.array([len(x) for x in a]), np.array([len(x) for x in b])
-    b_tokens = np.fromiter(chain.from_iterable(chain.from_iterable(b)), np.int64, 3 * int(b_count.sum())).reshape(-1, 3)
+    a_line, b_line = np.array([len(x) for x in a]), np.array([len(x) for x in b])
+    b_tokens = np.fromiter(chain.from_iterable(chain.from_iterable(b)), np.int64, 3 * int(b_line.sum())).reshape(-1, 3)
     b_ids = b_tokens[:, 0].tolist()
-    text = "".join(spaced)
+    text = "".join(lines)
     points = np.frombuffer(text.encode("utf-32-le"), dtype=np.uint32)
     byte_at = np.append(0, np.cumsum(1 + (points > 0x7F) + (points > 0x7FF) + (points > 0xFFFF)))
-    char_base = np.append(0, np.cumsum([len(p) for p in spaced]))
-    byte_base = byte_at[char_base]
+    byte_base = byte_at[np.append(0, np.cumsum([len(p) + 1 for p in parts]))]
+    line_base = np.append(0, np.cumsum([len(x) for x in lines]))[:-1]
 
     a_decoded, b_decoded = np.cumsum(tools.a_sizes[a_ids]), np.cumsum(tools.b_sizes[b_ids])
-    a_after, b_after = np.cumsum(a_count), np.cumsum(b_count)
+    # Numbers of tokens up to the end of each part.
+    a_after, b_after = (np.searchsorted(d, byte_base[1:], "right") for d in (a_decoded, b_decoded))
     data = text.encode()
     same = (
-        len(a_ids) > 0 and len(b_ids) > 0 and a_count.all() and b_count.all()
+        len(a_ids) > 0 and len(b_ids) > 0 and a_after[0] > 0 and b_after[0] > 0
         and np.array_equal(a_decoded[a_after - 1], byte_base[1:]) and np.array_equal(b_decoded[b_after - 1], byte_base[1:])
         and b"".join(map(tools.a_bytes.__getitem__, a_ids)) == data
         and b"".join(map(tools.b_bytes.__getitem__, b_ids)) == data)
@@ -171,17 +188,18 @@ def align(parts: list[str], tools: Tools) -> list[tuple | None]:
         return marks
 
     offsets = np.fromiter(chain.from_iterable(chain.from_iterable(x.offsets for x in a)), np.int64, 2 * len(a_ids))
-    offsets = offsets.reshape(-1, 2) + np.repeat(char_base[:-1], a_count)[:, None]
-    spans = b_tokens[:, 1:] + np.repeat(byte_base[:-1], b_count)[:, None] + 1
+    offsets = offsets.reshape(-1, 2) + np.repeat(line_base, a_line)[:, None]
+    spans = b_tokens[:, 1:] + np.repeat(byte_at[line_base], b_line)[:, None] + 1
     a_ends = _refined(byte_at[offsets[:, 0]], byte_at[offsets[:, 1]], a_decoded, last_of(a_after, len(a_ids)))
     b_ends = _refined(spans[:, 0], spans[:, 1], b_decoded, last_of(b_after, len(b_ids)))
     cuts, a_at, b_at = np.intersect1d(a_ends, b_ends, assume_unique=True, return_indices=True)
-    pairs = ((np.array(a_ids)[a_at] << 32) | np.array(b_ids)[b_at]).tolist()
+    pairs = ((np.array(a_ids)[a_at] << 32) | np.array(b_ids)[b_at]).astype(np.int64).tobytes()
     group_after = np.searchsorted(cuts, byte_base[1:], "right").tolist()
     a_to, b_to = (a_at + 1).tolist(), (b_at + 1).tolist()
     a_names, b_names = [tools.names[i] for i in a_ids], [tools.names[i] for i in b_ids]
+    a_count, b_count = np.diff(np.append(0, a_after)).tolist(), np.diff(np.append(0, b_after)).tolist()
     out, g, ai, bi = [], 0, 0, 0
-    for n_a, n_b, end in zip(a_count.tolist(), b_count.tolist(), group_after):
+    for n_a, n_b, end in zip(a_count, b_count, group_after):
         texts = []
         for a_end, b_end in zip(a_to[g:end], b_to[g:end]):
             if a_end - ai == 1 == b_end - bi:
@@ -189,7 +207,7 @@ def align(parts: list[str], tools: Tools) -> list[tuple | None]:
             else:
                 texts.append(",".join(a_names[ai:a_end]) + "|" + ",".join(b_names[bi:b_end]))
             ai, bi = a_end, b_end
-        out.append((n_a, n_b, ";".join(texts), pairs[g:end]))
+        out.append((n_a, n_b, ";".join(texts), pairs[8 * g : 8 * end]))
         g = end
     return out
 
@@ -197,21 +215,19 @@ def align(parts: list[str], tools: Tools) -> list[tuple | None]:
 def _entries(parts: list[str], tools: Tools) -> list[tuple | None]:
     """``align`` of different parts, some of them remembered."""
     known = tools.known
-    missing = [p for p in parts if p not in known]
-    found = {}
-    for i in range(0, len(missing), BATCH_PARTS):
-        batch = missing[i : i + BATCH_PARTS]
-        found.update(zip(batch, align(batch, tools)))
-    out = [known[p] if p in known else found[p] for p in parts]
-    if len(known) + len(found) > PARTS:
+    out = list(map(known.get, parts, repeat(_MISSING)))
+    at = [i for i, e in enumerate(out) if e is _MISSING]
+    for i in range(0, len(at), BATCH_PARTS):
+        batch = at[i : i + BATCH_PARTS]
+        for k, entry in zip(batch, align([parts[k] for k in batch], tools)):
+            out[k] = entry
+    if len(known) + len(at) > PARTS:
         # Parts of this chunk stay, in the order they came, as common ones come early.
         known.clear()
-        found = dict(zip(parts, out))
-    for p, entry in found.items():
-        if len(known) >= PARTS:
-            break
-        if len(p) <= PART_CHARS:
-            known[p] = entry
+        at = range(len(parts))
+    for k in at[: PARTS - len(known)]:
+        if len(parts[k]) <= PART_CHARS:
+            known[parts[k]] = out[k]
     return out
 
 
@@ -235,14 +251,12 @@ class Chunk:
         """The stored rows of the chunk: its texts, then its pairs with their counts."""
         entries = _entries(list(self.codes), tools)
         bad = np.array([e is None for e in entries], dtype=bool)
-        entries = [e or (0, 0, "", []) for e in entries]
+        entries = [e or (0, 0, "", b"") for e in entries]
         n_a = np.array([e[0] for e in entries], dtype=np.int64)
         n_b = np.array([e[1] for e in entries], dtype=np.int64)
-        sizes = np.array([len(e[3]) for e in entries], dtype=np.int64)
+        sizes = np.array([len(e[3]) for e in entries], dtype=np.int64) // 8
         strings = [e[2] for e in entries]
-        pairs, places = np.unique(
-            np.fromiter(chain.from_iterable(e[3] for e in entries), dtype=np.int64, count=int(sizes.sum())),
-            return_inverse=True)
+        pairs, places = np.unique(np.frombuffer(b"".join(e[3] for e in entries), dtype=np.int64), return_inverse=True)
         begins = np.cumsum(sizes) - sizes
         uses = np.zeros(len(entries), dtype=np.int64)
         for row, codes in zip(self.rows, self.texts):

@@ -51,7 +51,7 @@ def test_parts_align_as_the_whole(tools, text):
         found = []
     assert brute(text, tools) == (
         sum(e[0] for e in found), sum(e[1] for e in found), ";".join(e[2] for e in found),
-        [(p >> 32, p & 0xFFFFFFFF) for e in found for p in e[3]])
+        [(p >> 32, p & 0xFFFFFFFF) for e in found for p in np.frombuffer(e[3], dtype=np.int64).tolist()])
 
 
 def expected(rows, tools):
