@@ -1,16 +1,18 @@
 """Mixing sources to target weights.
 
 The words of each source form one stream, documents in the order of their ids,
-cut into blocks of ``block`` words. The mix has a number of slots; each output
-shard draws how many of its slots every source gets, and the n-th slot of a
+cut into blocks of ``block`` words. The mix has a number of slots for each source; each output
+shard draws how many of them it gets of every source, and the n-th slot of a
 source takes the block that a pseudorandom permutation of its block indexes puts
 at n. A second pass over a source uses another permutation. Slots and blocks meet
 in a join by index.
 
-A pseudorandom permutation of all slots deals them to the shards in equal parts. So
-every shard is a random mix, its counts by source are multinomial draws given the
-totals, and the totals meet the targets. The plan of the sources stays in a table:
-the driver sees sums over ranges of sources, and neither sources nor shards.
+The draws are multinomial: a source's slots are split over ranges of shards, those over
+smaller ranges, down to single shards, each split by a generator seeded with the source
+and the range. So totals meet the targets exactly, shards have about ``SHARD_SLOTS`` slots, any shard
+can be drawn again by itself, and a source with many slots is split over tasks. The plan of the
+sources stays in a table: the driver sees sums over ranges of sources, and neither
+sources nor shards.
 
 Defined results: null texts have no words; null is a source of its own, sorted
 last; sources without words have target 0; repeated rows are documents of their
@@ -20,6 +22,7 @@ travel in one struct, so their names cannot clash with those made here.
 
 from __future__ import annotations
 
+from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
@@ -34,7 +37,8 @@ WEIGHTS = (3, 1, 2)
 SHARE, MOST = 1.5, 2.0
 BLOCK = 64
 SHARD_SLOTS = 4096
-MOST_SHARDS = 4096
+# Ranges that a range of shards is split into at once.
+FAN_OUT = 256
 # More sources than this are joined by shuffles.
 BROADCAST_SOURCES, SALTS = 100_000, 16
 SEED = 20
@@ -45,7 +49,7 @@ class Mix:
     """Stored documents, the plan of each source, and the words each slot takes."""
 
     docs: DataFrame  # row_id, row, id, source, size
-    sources: DataFrame  # place, source, source_size, target, blocks, slots, first_slot
+    sources: DataFrame  # place, source, source_size, target, blocks, slots
     taken: DataFrame  # row_id, epoch, shard, slot, first, last: words [first, last) of a document
 
 
@@ -110,12 +114,13 @@ def mix(df: DataFrame, key: str = "doc_id", text: str = "text", source: str = "s
         F.col(source).alias("source"), F.xxhash64(text).alias("tie"),
         F.regexp_count(whole(F.col(text)), F.lit(WORD)).cast("long").alias("size")))
     sources = _planned(docs, weights, share, block)
-    taken = _slots(sources, seed).join(_fragments(_positions(docs), sources, block), ["place", "block"])
+    # Both sides grow with the documents. Statistics take the slots for few, as they are exploded from a small table.
+    taken = _slots(sources, seed).hint("merge").join(_fragments(_positions(docs), sources, block), ["place", "block"])
     return Mix(docs, sources, taken.select("row_id", "epoch", "shard", "slot", "first", "last"))
 
 
 def _planned(docs: DataFrame, weights: tuple[int, ...], share: float, block: int, most: float = MOST) -> DataFrame:
-    """The plan of each source: its place in order, target, blocks, slots and the slots before its own.
+    """The plan of each source: its place in order, target, blocks and slots.
 
     Targets are as in ``targets``: rounds of sums find the sources that reach ``most``.
     """
@@ -147,11 +152,8 @@ def _planned(docs: DataFrame, weights: tuple[int, ...], share: float, block: int
     target = F.when(size > 0, F.least(given, F.lit(float(most)) * size)).otherwise(0.0)
     plan = placed.withColumn("target", target).withColumn("blocks", F.ceil(size / block).cast("long"))
     plan = plan.withColumn("slots", F.when(size > 0, F.rint(F.col("target") / size * F.col("blocks"))).otherwise(0).cast("long"))
-    counts = plan.groupBy("range").agg(F.sum("slots").alias("n")).collect()
-    inside = Window.partitionBy("range").orderBy("at").rowsBetween(Window.unboundedPreceding, -1)
-    first = _before(counts) + F.coalesce(F.sum("slots").over(inside), F.lit(0))
-    return stored(plan.withColumn("first_slot", first).select(
-        "place", "source", F.col("size").alias("source_size"), "target", "blocks", "slots", "first_slot"))
+    return stored(plan.select(
+        "place", "source", F.col("size").alias("source_size"), "target", "blocks", "slots"))
 
 
 def _before(counts: list) -> Column:
@@ -196,7 +198,7 @@ def _positions(docs: DataFrame) -> DataFrame:
         Window.unboundedPreceding, -1)
     placed = docs.withColumn("inside", F.coalesce(F.sum("size").over(inside), F.lit(0)))
     joined = placed.join(
-        offsets, placed.source.eqNullSafe(offsets.of) & (placed.range == offsets.in_range))
+        offsets.hint("merge"), placed.source.eqNullSafe(offsets.of) & (placed.range == offsets.in_range))
     return joined.select("row_id", "source", "size", (F.col("offset") + F.col("inside")).alias("start"))
 
 
@@ -211,19 +213,52 @@ def _fragments(streams: DataFrame, sources: DataFrame, block: int) -> DataFrame:
     return pieces.select("place", "block", "row_id", first.alias("first"), last.alias("last"))
 
 
+_DRAWS = "place long, blocks long, low long, high long, first long, count long"
+
+
+def split(place: int, low: int, high: int, count: int, seed: int) -> tuple[np.ndarray, np.ndarray]:
+    """Bounds of the ranges that shards ``low`` to ``high`` are split into, and how many of ``count`` slots each draws."""
+    bounds = np.unique(low + (high - low) * np.arange(FAN_OUT + 1, dtype=object) // FAN_OUT).astype(np.int64)
+    sizes = np.diff(bounds)
+    rng = np.random.Generator(np.random.Philox(np.random.SeedSequence([seed, place, low, high])))
+    return bounds, rng.multinomial(count, sizes / sizes.sum())
+
+
+def _splitter(seed: int):
+    def draw(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for frame in frames:
+            found: dict[str, list[np.ndarray]] = {c: [] for c in ("place", "blocks", "low", "high", "first", "count")}
+            for r in frame.itertuples(index=False):
+                bounds, counts = split(r.place, r.low, r.high, r.count, seed)
+                some = np.flatnonzero(counts)
+                for c, values in (
+                        ("place", np.full(len(some), r.place)), ("blocks", np.full(len(some), r.blocks)),
+                        ("low", bounds[some]), ("high", bounds[some + 1]),
+                        ("first", (r.first + np.cumsum(counts) - counts)[some]), ("count", counts[some])):
+                    found[c].append(values)
+            if len(frame):
+                yield pd.DataFrame({c: np.concatenate(v) for c, v in found.items()})
+
+    return draw
+
+
 def _slots(sources: DataFrame, seed: int) -> DataFrame:
     """Every slot with its shard and the block it takes."""
     parts = int(sources.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     total = int(sources.agg(F.sum("slots")).first()[0] or 0)
-    shards = min(MOST_SHARDS, max(1, -(-total // SHARD_SLOTS)))
-    runs = sources.where("slots > 0").select("place", "blocks", "slots", "first_slot", F.explode(
-        F.sequence(F.lit(0).cast("long"), F.col("slots") - 1, F.lit(SHARD_SLOTS).cast("long"))).alias("from"))
-    at = runs.repartition(parts).select("place", "blocks", "first_slot", F.explode(F.sequence(
-        F.col("from"), F.least(F.col("from") + SHARD_SLOTS, F.col("slots")) - 1)).alias("slot"))
-    dealt = _block_at(F.col("first_slot") + F.col("slot"), F.lit(total).cast("long"), F.xxhash64(F.lit(seed)))
-    shard = F.floor(dealt * shards / F.lit(max(1, total))).cast("int")
-    epoch = F.floor(F.col("slot") / F.col("blocks"))
-    at = at.select("place", "slot", "blocks", shard.alias("shard"), epoch.alias("epoch"))
+    shards = max(1, -(-total // SHARD_SLOTS))
+    zero = F.lit(0).cast("long")
+    draws = sources.where("slots > 0").select(
+        "place", "blocks", zero.alias("low"), F.lit(shards).cast("long").alias("high"), zero.alias("first"),
+        F.col("slots").alias("count"))
+    width = shards
+    while width > 1:
+        draws = draws.repartition(parts).mapInPandas(_splitter(seed), _DRAWS)
+        width = -(-width // FAN_OUT)
+    at = draws.repartition(parts).select(
+        "place", "blocks", F.col("low").alias("shard"),
+        F.explode(F.sequence(F.col("first"), F.col("first") + F.col("count") - 1)).alias("slot"))
+    at = at.withColumn("epoch", F.floor(F.col("slot") / F.col("blocks")))
     block = _block_at(F.col("slot") % F.col("blocks"), F.col("blocks"),
                       F.xxhash64(F.lit(seed), F.col("place"), F.col("epoch")))
     return at.select("place", "shard", "slot", "epoch", block.alias("block"))
@@ -241,7 +276,7 @@ def mixed_documents(df: DataFrame, key: str = "doc_id", text: str = "text", sour
         F.sort_array(F.collect_list(F.struct("first", "last"))).alias("pieces"),
         F.sum(F.col("last") - F.col("first")).alias("words"))
     docs = planned.docs.select("row_id", "row", "size")
-    joined = docs.join(pieces, "row_id")
+    joined = docs.join(pieces.hint("merge"), "row_id")
     words = F.regexp_extract_all(F.col("row")[text], F.lit(WORD), F.lit(0))
     joined = joined.withColumn("all_words", F.when(F.col("words") < F.col("size"), words))
     parts = F.flatten(F.transform("pieces", lambda p: F.slice(

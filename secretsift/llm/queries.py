@@ -43,7 +43,7 @@ def op2(spark: SparkSession, folder: str) -> DataFrame:
     """Words that a mix of sources to target weights takes of each document."""
     mix = mixing.mix(documents(spark, folder, "source"), keep_text=False)
     taken = mix.taken.groupBy("row_id").agg(F.sum(F.col("last") - F.col("first")).alias("taken"))
-    docs = mixing.with_plan(mix.docs.join(taken, "row_id", "left"), mix.sources, "source_size", "target")
+    docs = mixing.with_plan(mix.docs.join(taken.hint("merge"), "row_id", "left"), mix.sources, "source_size", "target")
     return docs.select(F.col("id").alias("doc_id"), "size", "source_size", "target",
                        F.coalesce("taken", F.lit(0)).cast("long").alias("taken"))
 
