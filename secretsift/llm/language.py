@@ -6,11 +6,12 @@ its bytes. Windows of many texts run side by side. The network is trained in num
 backpropagation through time.
 
 Training uses a bounded sample: ``per_language`` excerpts of at most ``EXCERPT``
-characters of each language, of up to ``MAX_LANGUAGES`` languages, chosen by a hash of
-the id and collected to the driver. Prediction reads whole texts.
+characters of each language, chosen by a hash of the id and collected to the driver.
+Every language that a document names is learned. Prediction reads whole texts.
 
 Defined results: null texts and texts without a letter are ``und`` with score 0, as
-is every text if nothing could be learned; repeated rows are labelled alike; an empty
+is every text if nothing could be learned; documents with a null ``lang`` teach nothing;
+of equally likely languages the first by name wins; repeated rows are labelled alike; an empty
 table gives an empty result.
 """
 
@@ -27,7 +28,7 @@ from pyspark.sql.types import StructType
 
 UNKNOWN = "und"
 STEPS, HIDDEN, EMBEDDED = 64, 8, 8
-PER_LANGUAGE, EXCERPT, MAX_LANGUAGES = 400, 256, 200
+PER_LANGUAGE, EXCERPT = 400, 256
 ROUNDS, BATCH, RATE = 160, 128, 0.02
 # Windows that run side by side, and bytes of text handled at once.
 SIDE_BY_SIDE, GROUP_BYTES = 4096, 1 << 21
@@ -202,14 +203,13 @@ def predict(network: Network | None, texts: list[str | None]) -> list[tuple[str,
 def training_sample(docs: DataFrame, usable: Column, per_language: int) -> tuple[list[str], list[str]]:
     """At most ``per_language`` excerpts of each language from the documents that are ``usable``."""
     known = docs.select("doc_id", "lang", "text").where(usable & F.col("lang").isNotNull() & F.col("text").isNotNull())
-    counts = known.groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(MAX_LANGUAGES).collect()
+    counts = known.groupBy("lang").count().collect()
     if not counts:
         return [], []
     scale = 1 << 30
     # Twice the share that would do, so that chance leaves none short.
-    share = F.lit(0)
-    for r in counts:
-        share = F.when(F.col("lang") == r.lang, min(scale, -(-2 * per_language * scale // r["count"]))).otherwise(share)
+    shares = [F.lit(v) for r in counts for v in (r.lang, min(scale, -(-2 * per_language * scale // r["count"])))]
+    share = F.create_map(*shares)[F.col("lang")]
     draw = F.xxhash64("doc_id", "lang")
     start = F.pmod(F.xxhash64("lang", "doc_id"), F.greatest(F.length("text") - EXCERPT, F.lit(1))).cast("int") + 1
     picked = known.where(F.pmod(draw, F.lit(scale)) < share).select(

@@ -17,7 +17,6 @@ _SPACE[[9, 10, 11, 12, 13, 32]] = True
 _LOWER = np.arange(256, dtype=np.uint8)
 _LOWER[65:91] += 32
 _BYTES = np.random.default_rng(7).integers(1, 2**63, 256, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
-_BASE = 0x9E3779B97F4A7C55
 
 
 def mixed(x: np.ndarray) -> np.ndarray:
@@ -28,7 +27,13 @@ def mixed(x: np.ndarray) -> np.ndarray:
 
 
 @cache
-def powers(count: int, base: int = _BASE) -> np.ndarray:
+def places(count: int) -> np.ndarray:
+    """A value for each place of a byte in its word."""
+    return mixed(np.arange(1, count + 1, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C55))
+
+
+@cache
+def powers(count: int, base: int) -> np.ndarray:
     out = np.full(count, base, dtype=np.uint64)
     out[0] = 1
     return np.multiply.accumulate(out)
@@ -71,8 +76,12 @@ def word_hashes(texts: pa.Array, lower: bool = False) -> tuple[np.ndarray, np.nd
     first = np.searchsorted(at, starts)
     lengths = np.diff(np.append(first, len(at)))
     place = np.arange(len(at)) - np.repeat(first, lengths)
-    power = powers(1 << int(place.max() + 1).bit_length())
-    sums = np.add.reduceat(_BYTES[data[at]] * power[place], first)
+    # Each byte at each place has a value of its own. A polynomial in the place would give
+    # words like Thue-Morse sequences and their mirrors one sum, whatever its base.
+    values = (_BYTES[data[at]] ^ places(1 << int(place.max() + 1).bit_length())[place]) * np.uint64(0xBF58476D1CE4E5B9)
+    values ^= values >> np.uint64(29)
+    values *= np.uint64(0x94D049BB133111EB)
+    sums = np.add.reduceat(values ^ (values >> np.uint64(32)), first)
     return mixed(sums + lengths.astype(np.uint64)), bounds
 
 

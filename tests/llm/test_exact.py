@@ -257,3 +257,16 @@ def test_empty_tables(docs, spark):
     assert mixing.mixed_documents(none).count() == 0
     assert pieces.encode_texts(none, queries.tokenizer_path()).count() == 0
     assert warc.archive_pages(spark.createDataFrame([], "page_id long, url string, html string")).count() == 0
+
+
+def test_words_that_differ_are_told_apart(docs):
+    """A Thue-Morse word and its mirror sum to the same polynomial for every base modulo 2 ** 64."""
+    word = "".join("ab"[bin(i).count("1") % 2] for i in range(1024))
+    mirror = word.translate(str.maketrans("ab", "ba"))
+    rest = [f"w{i}" for i in range(25)]
+    rows = [(1, " ".join([word, *rest[:12]]), "a"), (2, " ".join([mirror, *rest[:12]]), "a"),
+            (3, " ".join([*rest[:9], word, *rest[9:]]), "a"), (4, " ".join([*rest[:9], mirror, *rest[9:]]), "a")]
+    out = spans.dedup_substrings(docs(rows)).select("id", "n_removed").collect()
+    assert {(r.id, r.n_removed) for r in out} == {(i, 0) for i in range(1, 5)}
+    linked = near.near_duplicates(docs([(1, word, "a"), (2, mirror, "a")]), shingle=2).collect()
+    assert {(r.id, r.component_id) for r in linked} == {(1, 1), (2, 2)}

@@ -74,3 +74,13 @@ def test_toxicity_of_awkward_rows(docs, odd_rows, spark):
     none = toxicity.toxicity(docs(odd_rows), labels.limit(0), F.lit(True)).collect()
     assert len(none) == len(odd_rows) and all(r.score < 0.5 for r in none)
     assert toxicity.toxicity(docs([]), labels, F.lit(True)).count() == 0
+
+
+def test_every_language_is_learned(spark):
+    """Two hundred and fifty languages, one of them with a third of the rows, and rows without one."""
+    rows = [(i, f"text of number {i}", f"l{i % 250:03}") for i in range(750)]
+    rows += [(1000 + i, "common text", "l007") for i in range(500)] + [(2000, "none", None), (2001, None, "l260")]
+    frame = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    excerpts, labels = language.training_sample(frame, F.lit(True), 3)
+    assert set(labels) == {f"l{i:03}" for i in range(250)} and len(excerpts) == len(labels)
+    assert max(labels.count(x) for x in set(labels)) <= 3
