@@ -54,6 +54,9 @@ PAGE_HTML = " || ".join([
     f"'<a href=\"/pic' || {Q} || '.gif\">p</a><a href=\"/pic.gif\">p</a><a name=\"n\">n</a>'",
 ])
 
+# Pages that also name themselves, as menus do: the only captured pages that a row knows of.
+LINKED_HTML = f"{PAGE_HTML} || '<a href=\"' || regexp_replace(url, '^https?://[^/?#]*', '') || '\">here</a>'"
+
 CERTIFICATES = " || ".join([
     f"'[{{\"name_value\":\"*.' || upper({HOST}) || {B} || 'nadmin@' || {HOST} || {B} || 'nwww.'",
     f"{HOST} || '\"}},{{\"id\":7,\"name_value\":\"mail' || {_N5} || '.' || {HOST} || '\"}}]'",
@@ -137,6 +140,11 @@ def with_elements(raw: DataFrame) -> DataFrame:
     return raw.select("page_id", "url", F.expr(PAGE_HTML).alias("html"))
 
 
+def linked_pages(spark: SparkSession, folder: str) -> DataFrame:
+    """All pages with the added elements and a link to themselves."""
+    return table(spark, folder, "pages").select("page_id", "url", F.expr(LINKED_HTML).alias("html"))
+
+
 def payloads(spark: SparkSession, folder: str, body: str) -> DataFrame:
     """One exported answer per page, about the domain of its host."""
     return table(spark, folder, "pages").selectExpr(

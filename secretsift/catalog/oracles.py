@@ -12,6 +12,7 @@ from secretsift.catalog.queries import (
     HOST_FORMS,
     LARGE_TOP,
     LINK_FORMS,
+    SCAN_TOP,
     TOP,
     TOP_PER_HOST,
     URL_FORMS,
@@ -397,24 +398,54 @@ _REPORT = (
 )
 
 
-def _flagship(semantics: str) -> str:
+def _flagship(semantics: str, limit: int | None = None, *before: str) -> str:
+    """Report rows of the resources in ``res``, or in the last of the CTEs that follow it."""
     chosen = (
         f"chosen AS (SELECT u.origin_url AS base_url, u.resource_url FROM uniq u "
         f"ANTI JOIN failed f ON f.url = u.resource_url "
         f"ORDER BY CASE {tier_resource('u.resource_url', semantics)} WHEN 'high' THEN 0 WHEN 'medium' THEN 1 ELSE 2 END, "
-        "first_seq)"
+        f"first_seq{f' LIMIT {limit}' if limit else ''})"
     )
     bodies = (
         f"bodies AS (SELECT base_url, resource_url, text FROM chosen JOIN (SELECT {inputs.CAPTURE_URL} AS cu, "
         f"{inputs.ALL_SECRETS} AS text FROM documents) ON cu = resource_url)"
     )
+    unique = _unique().replace("FROM res ", "FROM met ") if before else _unique()
     return (
-        _with(_resources(semantics), _unique(), FAILED, chosen, bodies, _BODY_HITS)
+        _with(_resources(semantics), *before, unique, FAILED, chosen, bodies, _BODY_HITS)
         + f" SELECT DISTINCT base_url, resource_url, regexp_extract({host('base_url')}, '([^.]+[.][^.]+)$', 1) "
         f"AS registered_domain, rule, category, {_MASKED} FROM hits"
     )
 
 
+def _key(u: str) -> str:
+    bare = f"regexp_replace(split_part({u}, '#', 1), '^[A-Za-z][A-Za-z0-9+.-]*://', '')"
+    name = f"regexp_replace(lower(regexp_extract({bare}, '^[^/?]*')), ':(80|443)?$', '')"
+    return f"regexp_replace({name} || regexp_replace({bare}, '^[^/?]*', ''), '/+$', '')"
+
+
+LINKED_PAGES = f"aug AS (SELECT page_id, url, {inputs.LINKED_HTML} AS html FROM pages)"
+_PLACES = (
+    "places AS (" + _with(
+        _internal().replace(PAGES, LINKED_PAGES), _all_sources(),
+        f"named AS (SELECT {with_scheme('url')} AS url, page_id, tag_no FROM ilinks "
+        "SEMI JOIN (SELECT DISTINCT lower(fqdn) AS known FROM found) ON lower(host) = known)",
+        "firsts AS (SELECT url, min(struct_pack(start_id := page_id, link_no := tag_no)) AS first FROM named "
+        f"WHERE NOT {is_byte('url')} GROUP BY url)",
+        f"tiered AS (SELECT url, first, {tier_internal('url')} AS tier FROM firsts)",
+        f"keyed AS (SELECT {_key(clean('url'))} AS key, CASE tier WHEN 'high' THEN 0 ELSE 2 END AS o, first FROM tiered)")
+    + " SELECT key, min(struct_pack(o := o, first := first)) AS place FROM keyed GROUP BY key)"
+)
+_MET = (
+    "met AS (SELECT r.* EXCLUDE (seq), dense_rank() OVER (ORDER BY place, page_id, part, tag_no, item_no) AS seq "
+    f"FROM res r JOIN places p ON p.key = {_key('r.origin_url')})"
+)
+_FRONTIER = _with(_PLACES) + (
+    f" SELECT page_id, key, CASE place.o WHEN 0 THEN 'high' ELSE 'low' END AS tier, place.first.start_id AS start_id "
+    f"FROM (SELECT page_id, {_key(clean('url'))} AS key FROM pages) JOIN places USING (key)"
+)
+
+
 def _unnested(forms: tuple[str, ...], name: str) -> str:
     return f"forms AS (SELECT page_id, url, unnest([{', '.join(forms)}]) AS {name} FROM pages)"
 
@@ -603,6 +634,9 @@ ORACLES: dict[str, str] = {
     "q37_report_written": f"SELECT base_url, resource_url, registered_domain, fingerprint FROM ({_REPORT})",
     "q38_flagship": _flagship(REFERENCE),
     "q38_flagship_int": _flagship(INTENDED),
+    "q38_flagship_limited": _flagship(REFERENCE, SCAN_TOP),
+    "q40_full_scan": _flagship(REFERENCE, None, _PLACES, _MET).replace(PAGES, LINKED_PAGES),
+    "q40_frontier": _FRONTIER,
     "q39_incremental_scan": _with(_resources(), "seen AS (SELECT DISTINCT resource_url FROM res)")
     + f" SELECT resource_url, {tier_resource('resource_url')} AS tier FROM seen",
 }

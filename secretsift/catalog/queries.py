@@ -22,6 +22,8 @@ Query = Callable[[SparkSession, str], DataFrame]
 # Limits of the ranking queries: a top-k report, and one large enough for the
 # range-based selection when that is forced.
 TOP, LARGE_TOP, TOP_PER_HOST = 100, 400, 5
+# Limit of a whole scan, beyond the scripts and files that rank high.
+SCAN_TOP = 1_500
 
 
 def _complete() -> Column:
@@ -370,6 +372,33 @@ def flagship_intended(spark, folder):
     )
 
 
+def flagship_limited(spark, folder):
+    """The flagship over the first resources of the ranked list only."""
+    return scan.leak_scan(
+        inputs.pages(spark, folder), _seeds(spark, folder), _failed(spark, folder),
+        inputs.captures(spark, folder), suffixes.builtin_rules(spark), limit=SCAN_TOP,
+    )
+
+
+def full_scan(spark, folder):
+    """Exports of passive sources to report rows, over the frontier of captured pages."""
+    return scan.full_scan(
+        scan.host_scan(inputs.all_payloads(spark, folder)), inputs.linked_pages(spark, folder),
+        _seeds(spark, folder), _failed(spark, folder), inputs.captures(spark, folder),
+        suffixes.builtin_rules(spark),
+    )
+
+
+def frontier_pages(spark, folder):
+    """Captured pages that the chained scan goes to, with their place."""
+    pages = inputs.linked_pages(spark, folder)
+    places = scan.frontier(
+        scan.host_scan(inputs.all_payloads(spark, folder)), pages, suffixes.builtin_rules(spark))
+    keyed = pages.select("page_id", urls.page_key(urls.clean_url(F.col("url"))).alias("key"))
+    return keyed.join(places, "key").select(
+        "page_id", "key", prioritize.tier_name(F.col("place.rank")).alias("tier"), F.col("place.start_id").alias("start_id"))
+
+
 def incremental_scan(spark, folder):
     """A stream over the page files: resources met, each once, with their rank."""
     return incremental.run_incremental(
@@ -440,5 +469,8 @@ QUERIES: dict[str, Query] = {
     "q37_report_written": report_written,
     "q38_flagship": flagship,
     "q38_flagship_int": flagship_intended,
+    "q38_flagship_limited": flagship_limited,
     "q39_incremental_scan": incremental_scan,
+    "q40_full_scan": full_scan,
+    "q40_frontier": frontier_pages,
 }

@@ -68,6 +68,18 @@ def host_of(c: Column) -> Column:
     return let(no_user, name)
 
 
+def page_key(c: Column) -> Column:
+    """What two addresses of one page have in common.
+
+    The scheme, a port that goes with it, the fragment and slashes at the end are dropped, and
+    the host is put in lower case. Path and query stay as they are.
+    """
+    bare = F.regexp_replace(F.substring_index(c, "#", 1), r"^[A-Za-z][A-Za-z0-9+.\-]*://", "")
+    host = F.regexp_replace(F.lower(F.regexp_extract(bare, "^[^/?]*", 0)), ":(?:80|443)?$", "")
+    rest = F.regexp_replace(bare, "^[^/?]*", "")
+    return F.regexp_replace(F.concat(host, rest), "/+$", "")
+
+
 def ensure_scheme(c: Column) -> Column:
     """Prefix ``https://`` unless the URL is already absolute over HTTP."""
     return F.when(

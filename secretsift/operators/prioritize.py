@@ -41,19 +41,19 @@ def rank_resources(resources: DataFrame, semantics: str = REFERENCE) -> DataFram
 
 
 def select_first(
-    ranked: DataFrame, limit: int | None = None, plain: int = PLAIN_LIMIT
+    ranked: DataFrame, limit: int | None = None, plain: int = PLAIN_LIMIT, lead: str = "page_id"
 ) -> DataFrame:
     """The ``limit`` best URLs: high before medium before low, then first seen; all without a limit.
 
-    Needs ``tier`` and ``seq`` (which starts with ``page_id``). Beyond ``plain``
+    Needs ``tier`` and ``seq``, whose first field is the number ``lead``. Beyond ``plain``
     the ranked list is written out once, because the selection reads it again.
     """
     if limit is None:
         return ranked
     if limit <= plain:
-        return first_rows(ranked, "tier", "seq.page_id", ["seq"], limit, plain)
-    stored = cut_lineage(ranked.withColumn("_page", F.col("seq.page_id")))
-    return first_rows(stored, "tier", "_page", ["seq"], limit, plain).drop("_page")
+        return first_rows(ranked, "tier", f"seq.{lead}", ["seq"], limit, plain)
+    stored = cut_lineage(ranked.withColumn("_lead", F.col(f"seq.{lead}")))
+    return first_rows(stored, "tier", "_lead", ["seq"], limit, plain).drop("_lead")
 
 
 def priority_distribution(
