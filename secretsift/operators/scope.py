@@ -8,13 +8,13 @@ from secretsift.functions.text import once
 from secretsift.functions.urls import host_of
 from secretsift.operators.domains import with_domain_parts
 from secretsift.operators.extract import IMPORT, SELF
-from secretsift.session import INTENDED, REFERENCE, check_semantics
+from secretsift.session import INTENDED, REFERENCE, check_semantics, cut_lineage
 from secretsift.sources.suffixes import SuffixRules
 
 # Seeds up to this number are written into the plan as a literal list.
 INLINE_SEEDS = 1_000
-# Characters a host name can have.
-HOST_CHARS = 253
+# Characters of the grams that host names are looked up by.
+GRAM = 3
 
 
 def in_scope(
@@ -78,16 +78,11 @@ def _containing_labels(hosts, seeds, rules, free, inline, each_seed) -> DataFram
         owners = F.filter(labels, lambda s: F.contains(F.col("_fqdn"), s))
         found = F.explode(F.when(free, none).otherwise(owners))
         return named.withColumn("seed", found).drop("_host", "_fqdn")
-    # Many seeds: every piece of the distinct names as long as some label meets the
-    # seeds in an equi-join; rows that are free stay out of it. A label longer than
-    # a host name can be is in none, so there are at most 253 lengths.
-    usable = seeds.where(F.length("label") <= HOST_CHARS)
-    lengths = sorted(r[0] for r in usable.select(F.length("label")).distinct().collect())
-    name = F.col("_fqdn")
-    every = [_pieces(name, n) for n in lengths] or [F.array().cast("array<string>")]
-    names = named.where(~free).select("_fqdn").distinct()
-    pieces = names.withColumn("_piece", F.explode(F.array_distinct(F.concat(*every))))
-    owners = pieces.join(usable.select(F.col("label").alias("seed")), F.col("_piece") == F.col("seed"))
+    owners = owners_by_gram(named.where(~free).select("_fqdn").distinct(), "_fqdn", seeds.select("label").distinct(), "label")
+    if each_seed:
+        # Domains of one label are seeds of their own, each with its row.
+        owners = owners.join(seeds.select("label"), "label")
+    owners = owners.withColumnRenamed("label", "seed")
     rows, loose = named.where(~free), named.where(free).drop("_host", "_fqdn")
     if each_seed:
         owned = rows.join(owners.select("_fqdn", "seed"), "_fqdn")
@@ -97,6 +92,39 @@ def _containing_labels(hosts, seeds, rules, free, inline, each_seed) -> DataFram
     return owned.drop("_host", "_fqdn").unionByName(loose)
 
 
+def owners_by_gram(names: DataFrame, name: str, labels: DataFrame, label: str) -> DataFrame:
+    """Pairs of a name and a label that it contains, through an index of the labels by one gram each.
+
+    A label stands in the index under its gram that the fewest names hold, so a name meets
+    only labels whose rarest gram it has, and the pairs are verified. A label with a gram that no name holds
+    is in none and has no entry. A name is exploded into its different grams, at most as
+    many as it has characters; labels shorter than a gram are looked up by their own length. ``names`` and ``labels``
+    are distinct.
+    """
+    names, labels = cut_lineage(names.select(name)), cut_lineage(labels.select(label))
+    held = names.select(name, F.explode(_grams(F.col(name))).alias("_gram"))
+    # Combined on the map side: as many rows as there are different grams.
+    common = held.groupBy("_gram").agg(F.count(F.lit(1)).alias("_n"))
+    own = labels.where(F.length(label) >= GRAM).select(label, F.explode(_grams(F.col(label))).alias("_gram"))
+    rated = own.join(common, "_gram", "left").withColumn("_n", F.coalesce("_n", F.lit(0)))
+    index = rated.groupBy(label).agg(F.min(F.struct("_n", "_gram")).alias("_rarest")).where("_rarest._n > 0")
+    index = index.select(label, F.col("_rarest._gram").alias("_gram"))
+    found = held.join(index, "_gram").where(F.contains(F.col(name), F.col(label))).select(name, label)
+    short = labels.where(F.length(label) < GRAM)
+    sizes = sorted(r[0] for r in short.select(F.length(label)).distinct().collect())
+    for size in sizes:
+        pieces = names.select(name, F.explode(F.array_distinct(_pieces(F.col(name), size))).alias("_piece"))
+        here = short.where(F.length(label) == size)
+        found = found.unionByName(pieces.join(here, F.col("_piece") == F.col(label)).select(name, label))
+    return found
+
+
+def _grams(text: Column) -> Column:
+    """Different grams of a text; none of a shorter one."""
+    return F.when(F.length(text) >= GRAM, F.array_distinct(_pieces(text, GRAM))).otherwise(
+        F.array().cast("array<string>"))
+
+
 def _pieces(name: Column, size: int) -> Column:
     """Every piece of ``size`` characters of a name; a shorter name gives itself."""
     starts = F.sequence(F.lit(1), F.greatest(F.length(name) - size + 1, F.lit(1)))
