@@ -632,6 +632,9 @@ ORACLES: dict[str, str] = {
     "FROM hits) GROUP BY ALL",
     "q37_report": _REPORT,
     "q37_report_written": f"SELECT base_url, resource_url, registered_domain, fingerprint FROM ({_REPORT})",
+    "q37_report_wide": _with(_BODIES, _BODY_HITS, _PRINTS)
+    + " SELECT base_url || ';' || resource_url || ';example.com;' || string_agg(fingerprint, ';' ORDER BY fingerprint) AS line "
+    "FROM prints GROUP BY base_url, resource_url",
     "q38_flagship": _flagship(REFERENCE),
     "q38_flagship_int": _flagship(INTENDED),
     "q38_flagship_limited": _flagship(REFERENCE, SCAN_TOP),

@@ -9,7 +9,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 from secretsift.catalog import inputs
 from secretsift.functions import urls
 from secretsift.functions.text import unescape_html
-from secretsift.operators import dedup, detect, extract, prioritize, report, scope
+from secretsift.operators import dedup, detect, extract, ledger, prioritize, report, scope
 from secretsift.operators.domains import with_domain_parts
 from secretsift.operators.rules import AUTH, CLOUD, DATABASE, GENERIC, INFRA, rules_of
 from secretsift.plans import scan
@@ -358,6 +358,16 @@ def report_written(spark, folder):
     return report.read_report(spark, path).drop("scan_date")
 
 
+def report_wide(spark, folder):
+    """The lines of the wide report's files."""
+    path = new_work_path(spark, "report")
+    listed = detect.candidates_per_text(_bodies(spark, folder), "body")
+    report.write_wide(listed, path, suffixes.builtin_rules(spark))
+    held = ledger.Ledger(spark, path)
+    lines = spark.read.text([f for day in held.days() for f in held.files(day)])
+    return lines.where(F.col("value") != ";".join(report.TITLES.values())).select(F.col("value").alias("line"))
+
+
 def flagship(spark, folder):
     return scan.leak_scan(
         inputs.pages(spark, folder), _seeds(spark, folder), _failed(spark, folder),
@@ -467,6 +477,7 @@ QUERIES: dict[str, Query] = {
     "q36_fingerprint_counts": fingerprint_counts,
     "q37_report": report_rows,
     "q37_report_written": report_written,
+    "q37_report_wide": report_wide,
     "q38_flagship": flagship,
     "q38_flagship_int": flagship_intended,
     "q38_flagship_limited": flagship_limited,
