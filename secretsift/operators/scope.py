@@ -78,6 +78,11 @@ def _containing_labels(hosts, seeds, rules, free, inline, each_seed) -> DataFram
         owners = F.filter(labels, lambda s: F.contains(F.col("_fqdn"), s))
         found = F.explode(F.when(free, none).otherwise(owners))
         return named.withColumn("seed", found).drop("_host", "_fqdn")
+    if named.isStreaming:
+        if each_seed:
+            raise ValueError("a stream is filtered by many seeds, it can't give a row per seed")
+        owned = met_labels(named.where(~free), "_fqdn", seeds.select("label").distinct(), "label").drop("label")
+        return owned.unionByName(named.where(free)).drop("_host", "_fqdn")
     owners = owners_by_gram(named.where(~free).select("_fqdn").distinct(), "_fqdn", seeds.select("label").distinct(), "label")
     if each_seed:
         # Domains of one label are seeds of their own, each with its row.
@@ -101,21 +106,33 @@ def owners_by_gram(names: DataFrame, name: str, labels: DataFrame, label: str) -
     many as it has characters; labels shorter than a gram are looked up by their own length. ``names`` and ``labels``
     are distinct.
     """
-    names, labels = cut_lineage(names.select(name)), cut_lineage(labels.select(label))
-    held = names.select(name, F.explode(_grams(F.col(name))).alias("_gram"))
+    names = cut_lineage(names.select(name))
+    held = names.select(F.explode(_grams(F.col(name))).alias("_gram"))
     # Combined on the map side: as many rows as there are different grams.
-    common = held.groupBy("_gram").agg(F.count(F.lit(1)).alias("_n"))
+    return met_labels(names, name, labels, label, held.groupBy("_gram").agg(F.count(F.lit(1)).alias("_n")))
+
+
+def met_labels(rows: DataFrame, name: str, labels: DataFrame, label: str, common: DataFrame | None = None) -> DataFrame:
+    """``rows``, once for each label that their ``name`` contains, with it; see ``owners_by_gram``.
+
+    ``common`` tells how many names hold a gram. Without it, as for a stream, whose names aren't known beforehand,
+    a gram is as rare as the labels that hold it are few. Rows are moved to the index, never counted or sorted.
+    """
+    labels = cut_lineage(labels.select(label))
     own = labels.where(F.length(label) >= GRAM).select(label, F.explode(_grams(F.col(label))).alias("_gram"))
-    rated = own.join(common, "_gram", "left").withColumn("_n", F.coalesce("_n", F.lit(0)))
+    known = own.groupBy("_gram").agg(F.count(F.lit(1)).alias("_n")) if common is None else common
+    rated = own.join(known, "_gram", "left").withColumn("_n", F.coalesce("_n", F.lit(0)))
     index = rated.groupBy(label).agg(F.min(F.struct("_n", "_gram")).alias("_rarest")).where("_rarest._n > 0")
     index = index.select(label, F.col("_rarest._gram").alias("_gram"))
-    found = held.join(index, "_gram").where(F.contains(F.col(name), F.col(label))).select(name, label)
+    kept = [*rows.columns, label]
+    held = rows.withColumn("_gram", F.explode(_grams(F.col(name))))
+    found = held.join(index, "_gram").where(F.contains(F.col(name), F.col(label))).select(kept)
     short = labels.where(F.length(label) < GRAM)
     sizes = sorted(r[0] for r in short.select(F.length(label)).distinct().collect())
     for size in sizes:
-        pieces = names.select(name, F.explode(F.array_distinct(_pieces(F.col(name), size))).alias("_piece"))
+        pieces = rows.withColumn("_piece", F.explode(F.array_distinct(_pieces(F.col(name), size))))
         here = short.where(F.length(label) == size)
-        found = found.unionByName(pieces.join(here, F.col("_piece") == F.col(label)).select(name, label))
+        found = found.unionByName(pieces.join(here, F.col("_piece") == F.col(label)).select(kept))
     return found
 
 
